@@ -96,8 +96,8 @@ def lag_moments(lagged: DataFrame, cuts: DataFrame, keys: Sequence[str], depth:
     segments = (
         lagged.join(per_block(cuts, "n"), [*keys, "block"])
         .where(F.col("t") < F.element_at("cuts", -1))
-        .withColumn("segment", F.size(F.filter("cuts", lambda c: c <= F.col("t"))))
-        .withColumn("cut", F.get("cuts", F.col("segment")))
+        .withColumn("_part", F.size(F.filter("cuts", lambda c: c <= F.col("t"))))
+        .withColumn("cut", F.get("cuts", F.col("_part")))
         .groupBy(*keys, "cut")
         .agg(F.sum(x[0]).alias("total"), *[F.sum(x[0] * x[k]).alias(f"s{k}") for k in range(depth + 1)])
     )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +26,28 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The folder is the shared one named by ``spark.checkpoint.dir``.  Only a session that names none
-    (a local test) gets a scratch folder.  The partitioning of ``df`` survives, so later joins and
-    windows on the same keys need no shuffle.
-    """
-    context = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder.  Only a local session that names none gets a scratch folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            shared = tempfile.mkdtemp(prefix="tidemark-", dir=os.environ.get("TMPDIR"))
+            shared = tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+
+    The partitioning of ``df`` survives, so later joins and windows on the same keys need no shuffle.
+    """
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the checkpoint folder, for a table handed from one job to the next."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
