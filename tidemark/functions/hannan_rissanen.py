@@ -17,6 +17,8 @@ import numpy as np
 MAX_LONG_AR = 24
 UNIT_ROOT = 0.999
 _REL_ZERO = 1e-13
+_COLLINEAR = 1e-6
+_ROWS_PER_COEFFICIENT = 3
 
 
 class Moments(NamedTuple):
@@ -95,104 +97,134 @@ def level_moments(mom: Moments, lags: int) -> np.ndarray | None:
     return g
 
 
-def _regress(target: np.ndarray, design: np.ndarray, g: np.ndarray):
-    """Least squares in moment form: (coefficients, squared error), None when the design is singular."""
-    a = design @ g @ design.T
-    scale = np.sqrt(np.maximum(np.diag(a), 0.0))
-    if scale.size and scale.min() <= 0.0:
+def _solve(gram: np.ndarray, target: int, regressors: list[int]) -> tuple[np.ndarray, float] | None:
+    """Least squares in moment form: (coefficients, squared error), None when the regressors are collinear."""
+    spread = gram[target, target]
+    if not regressors:
+        return np.zeros(0), float(spread)
+    square = gram[np.ix_(regressors, regressors)]
+    scale = np.sqrt(np.maximum(square.diagonal(), 0.0))
+    if scale.min() <= 0.0:
         return None
-    if scale.size:
-        a = a / np.outer(scale, scale)
-        if np.linalg.cond(a) > 1e11:
-            return None
-        beta = np.linalg.solve(a, (design @ g @ target) / scale) / scale
-    else:
-        beta = np.zeros(0)
-    error = target - beta @ design
-    return beta, float(error @ g @ error)
+    square = square / np.outer(scale, scale)
+    cross = gram[regressors, target] / scale
+    try:
+        lower = np.linalg.cholesky(square)
+    except np.linalg.LinAlgError:
+        return None
+    if lower.diagonal().min() < _COLLINEAR:
+        return None
+    beta = np.linalg.solve(square, cross)
+    return beta / scale, float(spread - 2 * (beta @ cross) + beta @ square @ beta)
 
 
-def _inside_unit_circle(coefficients: np.ndarray) -> bool:
-    """Roots of 1 - c1 B - c2 B^2 - ... lie safely outside the unit circle."""
-    c = np.trim_zeros(np.asarray(coefficients, float), "b")
-    if c.size == 0:
-        return True
-    return bool(np.abs(np.roots(np.r_[1.0, -c])).max() < UNIT_ROOT)
+def _stable(coefficients: np.ndarray) -> bool:
+    """Roots of 1 - c1 B - c2 B^2 - ... lie safely outside the unit circle (step-down recursion)."""
+    c = np.asarray(coefficients, float) / UNIT_ROOT ** np.arange(1, len(coefficients) + 1)
+    while c.size:
+        last = c[-1]
+        if abs(last) >= 1.0:
+            return False
+        c = (c[:-1] + last * c[-2::-1]) / (1.0 - last * last) if c.size > 1 else c[:0]
+    return True
 
 
 class Grid:
-    """All regressions of one series that share a sample and a level-moment matrix."""
+    """All regressions of one series that share a sample and a level-moment matrix.
+
+    For each way of differencing, the values every candidate may use (constant, lags of the series, lags
+    of the long-autoregression errors) get one cross-product matrix; a candidate is a slice of it.
+    """
 
     def __init__(self, mom: Moments, period: int):
         self.mom = mom
+        self.period = period
         self.m = long_ar_order(mom.n - 1 - 2 * period)
         self.lags = sample_lags(self.m, period)
         self.g = level_moments(mom, self.lags)
-        self._stage1: dict = {}
-
-    def _first_stage(self, d: int, D: int, s: int):
-        """Long autoregression of the differenced series: error filter on (1, x_t, ..., x_(t-L))."""
-        if (d, D) not in self._stage1:
-            poly = difference_polynomial(d, D, s)
-            size = self.lags + 2
-            width = self.lags + 2 - poly.size  # number of z lags within the sample, with lag 0
-            z = np.zeros((width, size))
-            for k in range(width):
-                z[k, 1 + k : 1 + k + poly.size] = poly
-            const = np.eye(1, size)
-            design = np.vstack([const, z[1 : self.m + 1]]) if d + D == 0 else z[1 : self.m + 1]
-            found = None
-            variance = z[0] @ self.g @ z[0]
-            if d + D == 0:
-                variance -= (z[0] @ self.g[0]) ** 2 / self.g[0, 0]
-            if variance > _REL_ZERO * self.g[1, 1]:
-                fit = _regress(z[0], design, self.g)
-                if fit is not None:
-                    found = (poly, z, z[0] - fit[0] @ design)
-            self._stage1[d, D] = found
-        return self._stage1[d, D]
-
-    def _shift(self, row: np.ndarray, k: int) -> np.ndarray:
+        self._bases: dict = {}
+
+    def _basis(self, d: int, D: int):
+        """(difference polynomial, rows over (1, x_t, ..., x_(t-L)), their cross-products, error filter).
+
+        Rows: constant, z_t, z_(t-1..3), z_(t-s), e_(t-1..3), e_(t-s).
+        """
+        if (d, D) in self._bases:
+            return self._bases[d, D]
+        poly = difference_polynomial(d, D, self.period)
+        size = self.lags + 2
+        z = np.zeros((self.m + 1, size))
+        for k in range(self.m + 1):
+            z[k, 1 + k : 1 + k + poly.size] = poly
+        const = np.eye(1, size)
+        stage = np.vstack([const, z])
+        gram = stage @ self.g @ stage.T
+        found = None
+        variance = gram[1, 1] - (gram[0, 1] ** 2 / gram[0, 0] if d + D == 0 else 0.0)
+        if variance > _REL_ZERO * self.g[1, 1]:
+            regressors = ([0] if d + D == 0 else []) + list(range(2, self.m + 2))
+            fit = _solve(gram, 1, regressors)
+            if fit is not None:
+                error = z[0] - fit[0] @ stage[regressors]
+                lags = [1, 2, 3, self.period or 1]
+                rows = np.vstack([
+                    const,
+                    z[:1],
+                    *[self._shift(z[0], k)[None] for k in lags],
+                    *[self._shift(error, k)[None] for k in lags],
+                ])
+                found = (poly, rows, rows @ self.g @ rows.T, error)
+        self._bases[d, D] = found
+        return found
+
+    @staticmethod
+    def _shift(row: np.ndarray, k: int) -> np.ndarray:
+        """The same value k steps earlier."""
         out = np.zeros_like(row)
         out[0] = row[0]
         out[1 + k :] = row[1 : row.size - k]
         return out
 
-    def fit(self, spec: Spec) -> Fit | None:
-        if self.g is None:
-            return None
-        first = self._first_stage(spec.d, spec.D, spec.s)
-        if first is None:
+    def _attempt(self, spec: Spec):
+        """(basis, regressor rows, coefficients, ar and ma polynomials, error variance, aic)."""
+        basis = self._basis(spec.d, spec.D) if self.g is not None else None
+        if basis is None:
             return None
-        poly, z, error = first
-        ar_lags = list(range(1, spec.p + 1)) + ([spec.s] if spec.P else [])
-        ma_lags = list(range(1, spec.q + 1)) + ([spec.s] if spec.Q else [])
+        ar_lags = [*range(1, spec.p + 1), *([spec.s] if spec.P else [])]
+        ma_lags = [*range(1, spec.q + 1), *([spec.s] if spec.Q else [])]
         if len(set(ar_lags)) < len(ar_lags) or len(set(ma_lags)) < len(ma_lags):
             return None
-        rows = ([np.eye(1, z.shape[1])[0]] if spec.constant else []) + [z[k] for k in ar_lags]
-        rows += [self._shift(error, k) for k in ma_lags]
-        design = np.array(rows).reshape(len(rows), z.shape[1])
+        skip = int(spec.constant)
+        used = [0] * skip + [*range(2, 2 + spec.p), *([5] if spec.P else [])]
+        used += [*range(6, 6 + spec.q), *([9] if spec.Q else [])]
         count = self.g[0, 0]
-        if count < len(rows) + 2:
-            return None
-        solved = _regress(z[0], design, self.g)
+        solved = _solve(basis[2], 1, used) if count >= _ROWS_PER_COEFFICIENT * max(len(used), 1) else None
         if solved is None or not solved[1] > _REL_ZERO * self.g[1, 1]:
             return None
         beta, sse = solved
-        skip = int(spec.constant)
-        phi = np.zeros(max(ar_lags, default=0))
+        phi, theta = np.zeros(max(ar_lags, default=0)), np.zeros(max(ma_lags, default=0))
         phi[[k - 1 for k in ar_lags]] = beta[skip : skip + len(ar_lags)]
-        theta = np.zeros(max(ma_lags, default=0))
         theta[[k - 1 for k in ma_lags]] = beta[skip + len(ar_lags) :]
-        if not (_inside_unit_circle(phi) and _inside_unit_circle(-theta)):
+        if not (_stable(phi) and _stable(-theta)):
             return None
         sigma2 = sse / count
-        aic = count * (np.log(2 * np.pi * sigma2) + 1) + 2 * (len(rows) + 1)
-        predict = beta @ design
+        aic = count * (np.log(2 * np.pi * sigma2) + 1) + 2 * (len(used) + 1)
+        return basis, used, beta, phi, theta, sigma2, float(aic)
+
+    def aic(self, spec: Spec) -> float | None:
+        attempt = self._attempt(spec)
+        return attempt and attempt[-1]
+
+    def fit(self, spec: Spec) -> Fit | None:
+        attempt = self._attempt(spec)
+        if attempt is None:
+            return None
+        (poly, rows, _, error), used, beta, phi, theta, sigma2, aic = attempt
+        predict = beta @ rows[used]
         predict[1 : 1 + poly.size] -= poly
         predict[1] += 1.0
         recent = np.r_[1.0, self.mom.tail]
-        errors = [error[0] + error[1:-k or None] @ recent[1 + k : error.size] for k in range(theta.size)]
+        errors = [error[0] + error[1 : error.size - k] @ recent[1 + k : error.size] for k in range(theta.size)]
         return Fit(
             aic, sigma2, float(beta[0]) if spec.constant else 0.0,
             -np.convolve(np.r_[1.0, -phi], poly)[1:], theta, np.array(errors), float(predict[0]), predict[2:],

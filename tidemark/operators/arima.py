@@ -12,14 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import hannan_rissanen as hr
 from tidemark.functions.stats import Z_975
 from tidemark.operators.inference import effect_summary, ljung_box
-from tidemark.operators.series import BLOCK_ROWS, blocks, per_block, with_lags
+from tidemark.operators.series import blocks, own_rows, per_block, with_lags
 from tidemark.session import checkpointed
 
 # The search grid, its tiers by length, the default order, the seasonal period by length.
@@ -92,22 +92,18 @@ def lag_moments(lagged: DataFrame, cuts: DataFrame, keys: Sequence[str], depth:
     counts once, towards the segment between the two cuts around it; the running sum over the few
     segments then gives the moments before each cut.  Returns (keys, cut, products, total).
     """
-    x = [F.get("lags", F.lit(k)) - F.col("pivot") for k in range(depth + 1)]
+    product = "sum((lags[0] - pivot) * (get(lags, {k}) - pivot)) AS s{k}"
     segments = (
         lagged.join(per_block(cuts, "n"), [*keys, "block"])
         .where(F.col("t") < F.element_at("cuts", -1))
         .withColumn("_part", F.size(F.filter("cuts", lambda c: c <= F.col("t"))))
         .withColumn("cut", F.get("cuts", F.col("_part")))
         .groupBy(*keys, "cut")
-        .agg(F.sum(x[0]).alias("total"), *[F.sum(x[0] * x[k]).alias(f"s{k}") for k in range(depth + 1)])
-    )
-    running = Window.partitionBy(*keys).orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)
-    return segments.select(
-        *keys,
-        "cut",
-        F.sum("total").over(running).alias("total"),
-        F.array(*[F.coalesce(F.sum(f"s{k}").over(running), F.lit(0.0)) for k in range(depth + 1)]).alias("products"),
+        .agg(F.expr("sum(lags[0] - pivot) AS total"), *[F.expr(product.format(k=k)) for k in range(depth + 1)])
     )
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY cut ROWS UNBOUNDED PRECEDING)"
+    running = ", ".join(f"coalesce(sum(s{k}) {over}, 0D)" for k in range(depth + 1))
+    return segments.select(*keys, "cut", F.expr(f"sum(total) {over} AS total"), F.expr(f"array({running}) AS products"))
 
 
 def _moments(located: DataFrame, lagged: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
@@ -154,9 +150,9 @@ def _fit_candidates(
         for p in range(row.bound + 1):
             for d in range(MAX_D + 1):
                 for q in range(row.bound + 1):
-                    fit = grid.fit(hr.Spec(p, d, q)) if p + q else None
-                    if fit is not None:
-                        found.append({"aic": fit.aic, "p": p, "d": d, "q": q})
+                    aic = grid.aic(hr.Spec(p, d, q)) if p + q else None
+                    if aic is not None:
+                        found.append({"aic": aic, "p": p, "d": d, "q": q})
         out.append(found)
     return pd.Series(out)
 
@@ -171,9 +167,9 @@ def _fit_seasonal_candidates(
         if row.period > 0:
             grid = hr.Grid(_read(row), int(row.period))
             for P, D, Q in ((0, 0, 1), (0, 1, 1), (1, 0, 0), (1, 1, 0), (1, 0, 1), (1, 1, 1)):
-                fit = grid.fit(hr.Spec(*SEASONAL_BASE, P, D, Q, int(row.period)))
-                if fit is not None:
-                    found.append({"aic": fit.aic, "P": P, "D": D, "Q": Q, "s": int(row.period)})
+                aic = grid.aic(hr.Spec(*SEASONAL_BASE, P, D, Q, int(row.period)))
+                if aic is not None:
+                    found.append({"aic": aic, "P": P, "D": D, "Q": Q, "s": int(row.period)})
         out.append(found)
     return pd.Series(out)
 
@@ -238,22 +234,22 @@ def best_order(candidates: Column) -> Column:
 
 
 class ArimaPlan:
-    """Fits, forecasts and points of a set of analyses over indexed series (keys, ts, y, t).
+    """Fits, forecasts and points of a set of analyses over prepared series (``series.prepare``).
 
     ``located`` holds one row per analysis: analysis_id, keys, idx, n, n_pre, n_post, pivot, status and,
     optionally, ``order`` (array<int>) to bypass the search.  Only rows with status ``ok`` are fitted.
     """
 
-    def __init__(self, indexed: DataFrame, located: DataFrame, keys: Sequence[str], seasonal: bool = False):
+    def __init__(self, blocked: DataFrame, located: DataFrame, keys: Sequence[str], seasonal: bool = False):
         self.keys = list(keys)
         self.by = ["analysis_id", *self.keys]
         self.seasonal = seasonal
         self.depth = SEASONAL_LAGS if seasonal else LAGS
-        self.blocked = checkpointed(blocks(indexed, self.keys, self.depth))
-        self.lagged = with_lags(self.blocked, self.keys, self.depth)
+        self.rows = own_rows(blocked)
+        self.lagged = with_lags(blocked, self.keys, self.depth)
         if "order" not in located.columns:
             located = located.withColumn("order", F.lit(None).cast("array<int>"))
-        self.located = located.where(F.col("status") == "ok")
+        self.located = checkpointed(located.where(F.col("status") == "ok"))
 
     def candidates(self) -> DataFrame:
         """Moments of each analysis with its candidate fits (``candidates``: aic and order)."""
@@ -309,7 +305,11 @@ class ArimaPlan:
         )
 
     def points(self, models: DataFrame) -> DataFrame:
-        """Observed, fitted and counterfactual values of every row of every fitted analysis."""
+        """Observed, fitted and counterfactual values of every row of every fitted analysis.
+
+        ``fit_t`` counts the pre rows from the first one with all its lags; before that values ahead of the
+        series are taken to be its mean (its first value, if differenced).
+        """
         filters = per_block(
             models.select(
                 *self.by, "idx", "pivot", "pre_mean", F.element_at("arima_order", 2).alias("d"),
@@ -334,20 +334,19 @@ class ArimaPlan:
             )
             .select(*self.by, "t", "ts", F.lit(False).alias("is_post"), F.col("y").alias("observed"), "fitted",
                     F.col("fitted").alias("counterfactual"), F.lit(None).cast("double").alias("cf_lower"),
-                    F.lit(None).cast("double").alias("cf_upper"))
+                    F.lit(None).cast("double").alias("cf_upper"), (F.col("t") - F.size("filter")).alias("fit_t"))
         )
-        observed = self.blocked.where(~F.col("is_overlap")).select(*self.keys, "t", "ts", "y")
-        post = observed.join(self.forecasts(models), [*self.keys, "t"]).select(
+        post = self.rows.join(self.forecasts(models), [*self.keys, "t"]).select(
             *self.by, "t", "ts", F.lit(True).alias("is_post"), F.col("y").alias("observed"),
             F.col("mean").alias("fitted"), F.col("mean").alias("counterfactual"),
             (F.col("mean") - Z_975 * F.col("se")).alias("cf_lower"),
-            (F.col("mean") + Z_975 * F.col("se")).alias("cf_upper"),
+            (F.col("mean") + Z_975 * F.col("se")).alias("cf_upper"), F.lit(None).cast("long").alias("fit_t"),
         )
         return pre.unionByName(post).withColumn("effect", F.col("observed") - F.col("counterfactual"))
 
     def effects(self, models: DataFrame, points: DataFrame) -> DataFrame:
         """One row per fitted analysis: effect, intervals, p-value, orders, AIC, residual check."""
-        residuals = points.where(~F.col("is_post")).select(*self.by, "t", F.col("effect").alias("residual"))
+        residuals = points.where("fit_t >= 0").select(*self.by, F.col("fit_t").alias("t"), F.col("effect").alias("residual"))
         checks = ljung_box(residuals, self.by).select(*self.by, "ljung_box_pvalue", "residuals_ok")
         fits = models.select(*self.by, "arima_order", "seasonal_order", F.col("model.aic").alias("aic"))
         return effect_summary(points, self.by).join(fits, self.by).join(checks, self.by)

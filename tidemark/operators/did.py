@@ -82,17 +82,21 @@ def design(panel: DataFrame, specs: DataFrame | Sequence[PanelSpec]) -> DataFram
     )
 
 
+def _pooled(moments: DataFrame, value: Column) -> Column:
+    """Mean over all rows behind the moments; sums taken about it do not cancel."""
+    return moments.agg(F.sum(F.col("n") * value) / F.sum("n")).scalar()
+
+
 def cell_moments(moments: DataFrame, specs: DataFrame | Sequence[PanelSpec]) -> DataFrame:
-    """(analysis_id, treated, post, n, mean, m2), pooled from moment rows without cancellation."""
-    cells = ["analysis_id", "treated", "post"]
-    rows = design(moments, specs)
-    means = rows.groupBy(*cells).agg(
-        F.sum("n").alias("cell_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("cell_mean")
-    )
-    spread = F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("cell_mean"), 2)
-    return rows.join(means, cells).groupBy(*cells).agg(
-        F.first("cell_n").alias("n"), F.first("cell_mean").alias("mean"), F.sum(spread).alias("m2")
-    )
+    """(analysis_id, treated, post, n, mean, m2), pooled from moment rows in one aggregate."""
+    centre = _pooled(moments, F.col("mean"))
+    n = F.col("n")
+    sums = design(moments, specs).withColumns({"centre": centre, "x": F.col("mean") - centre})
+    return sums.groupBy("analysis_id", "treated", "post", "centre").agg(
+        F.sum("n").alias("n"),
+        (F.col("centre") + F.sum(n * F.col("x")) / F.sum("n")).alias("mean"),
+        (F.sum(F.col("m2") + n * F.col("x") * F.col("x")) - F.pow(F.sum(n * F.col("x")), 2) / F.sum("n")).alias("m2"),
+    ).drop("centre")
 
 
 def cell_means(moments: DataFrame, specs: DataFrame | Sequence[PanelSpec]) -> DataFrame:
@@ -167,22 +171,23 @@ def parallel_trends(moments: DataFrame, specs: DataFrame | Sequence[PanelSpec])
     """Test of a differential slope before the intervention: y ~ 1 + treated + t + treated x t.
 
     t is in days.  Saturated in ``treated``, so the model is one simple regression per group: each
-    group's slope and squared error come from five sums, taken about the group means.
+    group's slope and squared error come from a handful of sums.
     """
     groups = ["analysis_id", "treated"]
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
     day = F.unix_micros("ts") / 86_400_000_000.0
-    rows = design(moments, specs).where(F.col("post") == 0).withColumn("day", day)
-    n = F.col("n")
-    centres = rows.groupBy(*groups).agg(
-        (F.sum(n * F.col("day")) / F.sum("n")).alias("day_mean"),
-        (F.sum(n * F.col("mean")) / F.sum("n")).alias("y_mean"),
+    rows = design(moments, specs).where(F.col("post") == 0).withColumns(
+        {"x": day - _pooled(moments, day), "y": F.col("mean") - _pooled(moments, F.col("mean"))}
     )
-    x, y = F.col("day") - F.col("day_mean"), F.col("mean") - F.col("y_mean")
-    sums = rows.join(centres, groups).groupBy(*groups).agg(
+
+    def about_mean(second: Column, a: Column, b: Column) -> Column:
+        return F.sum(second) - F.sum(n * a) * F.sum(n * b) / F.sum("n")
+
+    sums = rows.groupBy(*groups).agg(
         F.sum("n").alias("n"),
-        F.sum(n * x * x).alias("sxx"),
-        F.sum(n * x * y).alias("sxy"),
-        F.sum(F.col("m2") + n * y * y).alias("syy"),
+        about_mean(n * x * x, x, x).alias("sxx"),
+        about_mean(n * x * y, x, y).alias("sxy"),
+        about_mean(F.col("m2") + n * y * y, y, y).alias("syy"),
     ).withColumn("sxx", F.when(F.col("sxx") > 0, F.col("sxx")))
     slope = F.col("sxy") / F.col("sxx")
     both = (

@@ -99,27 +99,35 @@ def ljung_box(residuals: DataFrame, keys: Sequence[str]) -> DataFrame:
     products inside bounded blocks, so a long series is spread over many tasks.
     """
     lagged = with_lags(blocks(residuals, keys, LJUNG_BOX_LAGS), keys, LJUNG_BOX_LAGS, "residual")
-    r = [F.get("lags", F.lit(k)) for k in range(LJUNG_BOX_LAGS + 1)]
     # sum (r_t - m)(r_{t-k} - m) expands into products, sums of either side, and the mean.
     sums = lagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("residual").alias("total"),
-        *[F.sum(r[0] * r[k]).alias(f"p{k}") for k in range(LJUNG_BOX_LAGS + 1)],
-        *[F.sum(F.when(r[k].isNotNull(), r[0])).alias(f"a{k}") for k in range(1, LJUNG_BOX_LAGS + 1)],
-        *[F.sum(r[k]).alias(f"b{k}") for k in range(1, LJUNG_BOX_LAGS + 1)],
+        F.expr("sum(residual * residual) AS p0"),
+        *[
+            F.expr(expression.format(k=k))
+            for k in range(1, LJUNG_BOX_LAGS + 1)
+            for expression in (
+                "sum(residual * get(lags, {k})) AS p{k}",
+                "sum(CASE WHEN get(lags, {k}) IS NOT NULL THEN residual END) AS a{k}",
+                "sum(get(lags, {k})) AS b{k}",
+            )
+        ],
     )
-    n, mean = F.col("n"), F.col("total") / F.col("n")
-    variance = F.col("p0") - n * mean * mean
-    flat = variance <= 1e-13 * F.col("p0")
+    n = F.col("n")
+    mean = F.col("total") / n
+    spread = F.col("p0") - n * mean * mean
     n_lags = F.least(F.lit(LJUNG_BOX_LAGS), F.floor(n / 5)).cast("int")
-    q = F.lit(0.0)
-    for k in range(1, LJUNG_BOX_LAGS + 1):
-        covariance = F.col(f"p{k}") - mean * (F.col(f"a{k}") + F.col(f"b{k}")) + (n - k) * mean * mean
-        rho = covariance / F.when(~flat, variance)
-        q = q + F.when(n_lags >= k, rho * rho / (n - k)).otherwise(0.0)
-    untestable = (n_lags < 1) | flat
+    q = F.expr(" + ".join(
+        f"CASE WHEN n_lags < {k} THEN 0D ELSE "
+        f"pow((p{k} - mean * (a{k} + b{k}) + (n - {k}) * mean * mean) / variance, 2) / (n - {k}) END"
+        for k in range(1, LJUNG_BOX_LAGS + 1)
+    ))
+    untestable = (F.col("n_lags") < 1) | F.col("variance").isNull()
     return (
-        sums.withColumn("n_lags", n_lags)
+        sums.withColumns({
+            "n_lags": n_lags, "mean": mean, "variance": F.when(spread > 1e-13 * F.col("p0"), spread),
+        })
         .withColumn("q_stat", F.when(~untestable, n * (n + 2) * q))
         .withColumn(
             "ljung_box_pvalue",

@@ -44,7 +44,7 @@ def placebo_indices(
 
 
 def placebo_effects(
-    indexed: DataFrame, located: DataFrame, keys: Sequence[str],
+    blocked: DataFrame, located: DataFrame, keys: Sequence[str],
     n_placebos: int | None = N_PLACEBOS, seed: int = SEED,
 ) -> DataFrame:
     """(analysis_id, keys, idx, is_real, effect) of the real and every placebo date.
@@ -64,7 +64,7 @@ def placebo_effects(
     both = real.unionByName(fake).withColumn("of", F.col("analysis_id")).withColumn(
         "analysis_id", F.concat_ws("@", "of", F.when(F.col("is_real"), "real").otherwise(F.col("idx").cast("string")))
     )
-    plan = ArimaPlan(indexed, both, keys)
+    plan = ArimaPlan(blocked, both, keys)
     # The pivot is the mean of the series, so the post mean follows from the pre mean.
     post_mean = (F.col("n") * F.col("pivot") - F.col("n_pre") * F.col("pre_mean")) / F.col("n_post")
     return plan.mean_effects(plan.models()).select(

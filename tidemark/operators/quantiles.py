@@ -11,15 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ACCURACY = 10_000
-_MARGIN = 3 / _ACCURACY  # the sketch is off by at most 1 / accuracy in rank
-
+from tidemark.operators.series import join_per_key
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on the keys; without keys the right side is a single row, matched on a constant."""
-    if keys:
-        return left.join(right, list(keys))
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+_ACCURACY = 100_000
+_MARGIN = 3 / _ACCURACY  # the sketch is off by at most 1 / accuracy in rank
+_SMALL = 4 / _MARGIN  # groups too small for the margin to span a few ranks are ranked whole
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -40,10 +36,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     brackets = sketch.select(
         *keys,
         "n",
-        *[(F.col("smallest") if p <= _MARGIN else F.get("lows", F.lit(i))).alias(f"lo{i}") for i, p in enumerate(probs)],
-        *[(F.col("largest") if p >= 1 - _MARGIN else F.get("highs", F.lit(i))).alias(f"hi{i}") for i, p in enumerate(probs)],
+        *[F.when((F.lit(p) <= _MARGIN) | (F.col("n") < _SMALL), F.col("smallest"))
+          .otherwise(F.get("lows", F.lit(i))).alias(f"lo{i}") for i, p in enumerate(probs)],
+        *[F.when((F.lit(p) >= 1 - _MARGIN) | (F.col("n") < _SMALL), F.col("largest"))
+          .otherwise(F.get("highs", F.lit(i))).alias(f"hi{i}") for i, p in enumerate(probs)],
     )
-    placed = _join(counted, brackets, keys)
+    placed = join_per_key(counted, brackets, keys)
     below = placed.groupBy(*keys).agg(
         F.first("n").alias("n"),
         *[F.coalesce(F.sum(F.when(F.col("v") < F.col(f"lo{i}"), F.col("c"))), F.lit(0)).alias(f"below{i}")
@@ -56,7 +54,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         ]))).alias("i"),
     )
     running = Window.partitionBy(*keys, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _join(inside.withColumn("upto", F.sum("c").over(running)), below, keys)
+    ranked = join_per_key(inside.withColumn("upto", F.sum("c").over(running)), below, keys)
     offset = F.element_at(F.array(*[F.col(f"below{i}") for i in range(len(probs))]), F.col("i") + 1)
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
     position = prob * (F.col("n") - 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.series import join_per_key
 
 
 def format_effect(value: Column) -> Column:
@@ -107,7 +108,7 @@ def chart_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What a chart draws: observed, fitted before, counterfactual and band after, the intervention mark."""
     post = F.col("is_post")
     first_post = points.where(post).groupBy(*keys).agg(F.min("ts").alias("intervention"))
-    return points.join(first_post, list(keys)).select(
+    return join_per_key(points, first_post, keys).select(
         *keys,
         "ts",
         "observed",

@@ -12,12 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpointed
+
 BLOCK_ROWS = 4096
+OVERLAP = 64  # at least the longest lag of any model
 
 # Calendar bucket used to number the observations of a series, by grain.  A series at a grain of a
 # day or coarser is short enough to be numbered in one window.
 _BUCKET = {
-    None: "hour", "second": "hour", "minute": "day", "hour": "year",
+    None: "minute", "second": "hour", "minute": "day", "hour": "year",
     "day": None, "week": None, "month": None, "quarter": None, "year": None,
 }
 
@@ -59,8 +62,9 @@ def index_series(series: DataFrame, keys: Sequence[str], grain: str | None = Non
     rows = series.withColumn("bucket", F.date_trunc(bucket, "ts"))
     inside = Window.partitionBy(*keys, "bucket").orderBy("ts")
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Counting y, which is never null here, keeps both branches on one shuffle: raw rows are read once.
     offsets = (
-        rows.groupBy(*keys, "bucket").count()
+        rows.groupBy(*keys, "bucket").agg(F.count("y").alias("count"))
         .select(*keys, "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     )
     return (
@@ -72,7 +76,7 @@ def index_series(series: DataFrame, keys: Sequence[str], grain: str | None = Non
 
 
 def blocks(indexed: DataFrame, keys: Sequence[str], overlap: int) -> DataFrame:
-    """Cuts every series into blocks of ``BLOCK_ROWS`` rows, laid out by (keys, block).
+    """Adds ``block``: every series is cut into blocks of ``BLOCK_ROWS`` rows.
 
     The last ``overlap`` rows of a block are repeated, flagged ``is_overlap``, at the head of the next.
     """
@@ -85,11 +89,22 @@ def blocks(indexed: DataFrame, keys: Sequence[str], overlap: int) -> DataFrame:
         .withColumn("block", F.explode(F.when(near_end, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
         .withColumn("is_overlap", F.col("block") > F.col("own"))
         .drop("own")
-        .repartition(*keys, "block")
-        .sortWithinPartitions(*keys, "block", "t")
     )
 
 
+def prepare(indexed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blocks of indexed series, written once to the checkpoint folder: the raw rows are read a single time.
+
+    Everything fitted later starts from these rows, which are as many as there are timestamps per key.
+    """
+    return checkpointed(blocks(indexed, keys, OVERLAP))
+
+
+def own_rows(blocked: DataFrame) -> DataFrame:
+    """The rows of the series, without the repeated ones."""
+    return blocked.where(~F.col("is_overlap")).drop("is_overlap")
+
+
 def with_lags(blocked: DataFrame, keys: Sequence[str], depth: int, value: str = "y", name: str = "lags") -> DataFrame:
     """Adds the array [v(t), v(t-1), ..., v(t-depth)], shorter at the start of a series."""
     window = Window.partitionBy(*keys, "block").orderBy("t").rowsBetween(-depth, 0)
@@ -101,11 +116,22 @@ def with_lags(blocked: DataFrame, keys: Sequence[str], depth: int, value: str =
 
 
 def per_block(table: DataFrame, n: str) -> DataFrame:
-    """Repeats a per-series row once per block of its series, to join block rows where they lie."""
+    """Repeats a per-series row once per block of its series: joins by (keys, block) have no hot key."""
     last = F.floor((F.col(n) - 1) / BLOCK_ROWS)
     return table.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
 
 
+def join_per_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins a few facts per key to the rows of that key; without keys the facts are a single row.
+
+    Small facts are broadcast by their measured size.  Beyond that a hot key is split by the skew join of
+    adaptive execution.  The extra join column lets it: with it, no later aggregate by the same keys can
+    rely on the layout of the join.
+    """
+    tie = F.xxhash64(*keys) if keys else F.lit(1)
+    return rows.withColumn("_tie", tie).join(facts.withColumn("_tie", tie), [*keys, "_tie"]).drop("_tie")
+
+
 def attach_specs(series: DataFrame, specs: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
     """Pairs series rows with their analyses.
 
@@ -144,12 +170,14 @@ def locate_interventions(
 
     ``carry`` names further spec columns to keep.
     """
-    distance = F.abs(F.unix_micros("ts") - F.unix_micros("intervention_ts"))
+    away = F.unix_micros("ts") - F.unix_micros("intervention_ts")
+    # one number to order by, so that the aggregate hashes: nearest first, the later of two at a tie
+    distance = 2 * F.abs(away) + (away < 0).cast("long")
     located = (
         attach_specs(indexed, specs)
         .groupBy("analysis_id", *keys)
         .agg(
-            F.min_by("t", F.struct(distance, -F.unix_micros("ts"))).alias("idx"),
+            F.min_by("t", distance).alias("idx"),
             F.count(F.lit(1)).alias("n"),
             F.avg("y").alias("pivot"),
             *[F.first(c).alias(c) for c in carry],
@@ -165,6 +193,6 @@ def locate_interventions(
 
 def pre_post_split(indexed: DataFrame, located: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Series rows of each analysis with ``is_post`` = at or after the intervention index."""
-    return indexed.join(located.select("analysis_id", *keys, "idx"), list(keys)).withColumn(
+    return join_per_key(indexed, located.select("analysis_id", *keys, "idx"), keys).withColumn(
         "is_post", F.col("t") >= F.col("idx")
     )

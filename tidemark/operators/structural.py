@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.stats import Z_975
 from tidemark.operators.inference import effect_summary
-from tidemark.operators.series import BLOCK_ROWS, blocks, per_block
+from tidemark.operators.series import BLOCK_ROWS, own_rows, per_block
 from tidemark.session import checkpointed
 
 # The grid of ratios, in half decades.
@@ -78,21 +78,21 @@ def _one_step(values: pd.Series, q: pd.Series, level: pd.Series, variance: pd.Se
 
 
 class LocalLevelPlan:
-    """Fits, points and effects of the local-level model for indexed series (keys, ts, y, t)."""
+    """Fits, points and effects of the local-level model for prepared series (``series.prepare``)."""
 
-    def __init__(self, indexed: DataFrame, located: DataFrame, keys: Sequence[str], ratios: Sequence[float] = RATIOS):
+    def __init__(self, blocked: DataFrame, located: DataFrame, keys: Sequence[str], ratios: Sequence[float] = RATIOS):
         self.keys = list(keys)
         self.by = ["analysis_id", *self.keys]
-        self.located = located.where(F.col("status") == "ok")
+        self.located = checkpointed(located.where(F.col("status") == "ok"))
         self.ratios = list(ratios)
-        self.blocked = checkpointed(blocks(indexed, self.keys, 0).drop("is_overlap"))
+        self.rows = own_rows(blocked)
 
     def _pre_blocks(self, extra: Sequence[str] = (), analyses: DataFrame | None = None) -> DataFrame:
         """(by, block, t0, values): the pre values of each block, at most ``BLOCK_ROWS`` of them."""
         analyses = self.located if analyses is None else analyses
         pre = per_block(analyses.select(*self.by, "idx", "n_pre", *extra), "n_pre")
         return (
-            self.blocked.join(pre, [*self.keys, "block"])
+            self.rows.join(pre, [*self.keys, "block"])
             .where(F.col("t") < F.col("idx"))
             .groupBy(*self.by, "block", "n_pre", *extra)
             .agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("rows"))
@@ -160,7 +160,7 @@ class LocalLevelPlan:
             .select(*self.by, "t0", F.posexplode("fitted").alias("pos", "fitted"))
             .select(*self.by, (F.col("t0") + F.col("pos")).alias("t"), "fitted")
         )
-        pre = self.blocked.select(*self.keys, "t", "ts", "y").join(fitted, [*self.keys, "t"]).select(
+        pre = self.rows.select(*self.keys, "t", "ts", "y").join(fitted, [*self.keys, "t"]).select(
             *self.by, "t", "ts", F.lit(False).alias("is_post"), F.col("y").alias("observed"), "fitted",
             F.col("fitted").alias("counterfactual"), F.lit(None).cast("double").alias("cf_lower"),
             F.lit(None).cast("double").alias("cf_upper"),
@@ -168,7 +168,7 @@ class LocalLevelPlan:
         h = F.col("t") - F.col("idx") + 1
         half = Z_975 * F.sqrt(F.col("sigma2") * (F.col("P") + h * F.col("q") + 1))
         post = (
-            self.blocked.join(per_block(models, "n"), [*self.keys, "block"])
+            self.rows.join(per_block(models, "n"), [*self.keys, "block"])
             .where(F.col("t") >= F.col("idx"))
             .select(
                 *self.by, "t", "ts", F.lit(True).alias("is_post"), F.col("y").alias("observed"),

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.arima import ArimaPlan
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.operators.series import MIN_SERIES_LENGTH, index_series, locate_interventions, to_series
+from tidemark.operators.series import (
+    MIN_SERIES_LENGTH, index_series, join_per_key, locate_interventions, own_rows, prepare, to_series,
+)
 from tidemark.operators.structural import LocalLevelPlan
 
 # Smallest segment that is analysed, and the labels of the value bins.
@@ -50,7 +52,7 @@ def segment_value_bin(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Da
         by_width = by_width.when(v <= F.col("q0") + (i + 1) * step, WIDTH_LABELS[i])
     segment = F.when(v.isNotNull(), F.when(distinct, by_rank).otherwise(by_width.otherwise(WIDTH_LABELS[3])))
     if keys:
-        joined = df.join(edges, keys)
+        joined = join_per_key(df, edges, keys)
     else:
         row = edges.first()
         joined = df.select("*", *[F.lit(row[f"q{i}"]).alias(f"q{i}") for i in range(5)])
@@ -82,13 +84,13 @@ def subgroup_effects(
     outer = ["analysis_id", *inner]
     segmented = segment_rows(df, ts, y, by, keys)
     sizes = segment_sizes(segmented, keys)
-    series = index_series(to_series(segmented, inner, ts, y, grain), inner, grain)
-    located = locate_interventions(series, inner, specs).join(
+    blocked = prepare(index_series(to_series(segmented, inner, ts, y, grain), inner, grain), inner)
+    located = locate_interventions(own_rows(blocked), inner, specs).join(
         sizes.select(*inner, "n_points", F.col("status").alias("size_status")), inner
     ).withColumn("status", F.when(F.col("size_status") != "ok", F.col("size_status")).otherwise(F.col("status"))).drop(
         "size_status"
     )
-    plan = _METHODS[method](series, located, inner)
+    plan = _METHODS[method](blocked, located, inner)
     models = plan.models()
     effects = plan.effects(models, plan.points(models)).select(
         *outer, "effect", "effect_pct", "cf_ci_lower", "cf_ci_upper", "effect_ci_lower", "effect_ci_upper", "p_value",

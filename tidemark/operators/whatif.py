@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import Z_975, Z_ROUNDED
 from tidemark.operators.inference import is_significant, mean_effect, t_test_p
+from tidemark.operators.series import join_per_key
 
 
 class Scenario(NamedTuple):
@@ -46,7 +47,7 @@ def whatif_points(points: DataFrame, keys: Sequence[str], scenarios: Sequence[Sc
     ramp = step * F.col("slope_pct") / 100 * F.col("pre_mean") * 0.5
     shift = F.col("level_pct") / 100 * F.col("pre_mean")
     return (
-        points.join(facts, list(keys))
+        join_per_key(points, facts, keys)
         .withColumn("s", F.explode(listed))
         .select("*", "s.*")
         .withColumn(

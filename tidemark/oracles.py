@@ -137,7 +137,7 @@ AR1_FIT = """sized AS (
 fits AS (
   SELECT event_type, idx, n, real_idx, count(*) AS m, regr_slope(y, y1) AS phi, regr_intercept(y, y1) AS const,
     (regr_syy(y, y1) - regr_slope(y, y1) * regr_sxy(y, y1)) / count(*) AS sigma2
-  FROM sized JOIN ar USING (event_type) WHERE t >= first_t AND t < idx GROUP BY 1, 2, 3 + 1e-8, 4)"""
+  FROM sized JOIN ar USING (event_type) WHERE t >= first_t AND t < idx GROUP BY 1, 2, 3, 4)"""
 AR1_POINTS = f"""{LOCATED}, {AR1}, {AR1_FIT}, pre_mean AS (
   SELECT event_type, avg(y) AS pre_mean FROM series JOIN located USING (event_type) WHERE t < idx GROUP BY 1),
 last AS (SELECT event_type, y AS last_y FROM series JOIN located USING (event_type) WHERE t = idx - 1),
@@ -163,7 +163,7 @@ sized AS (
   SELECT *, 4 + least(greatest(6, round(10 * log10(idx - 1))), (idx - 1) // 4, 24)::BIGINT AS first_t FROM cuts),
 fits AS (
   SELECT event_type, idx, n, is_real, regr_slope(y, y1) AS phi, regr_intercept(y, y1) AS const
-  FROM sized JOIN ar USING (event_type) WHERE t >= first_t AND t < idx GROUP BY 1, 2, 3 + 1e-8, 4),
+  FROM sized JOIN ar USING (event_type) WHERE t >= first_t AND t < idx GROUP BY 1, 2, 3, 4),
 post AS (
   SELECT event_type, idx, is_real, avg(y) AS post_mean FROM cuts JOIN series USING (event_type) WHERE t >= idx GROUP BY 1, 2, 3),
 placebo AS (
@@ -338,7 +338,7 @@ ORACLES: dict[str, str] = {
     "difference_series": f"""WITH {SERIES}, lagged AS (SELECT event_type, t, y, lag(y) OVER w AS y1, lag(y, 12) OVER w AS y12, lag(y, 13) OVER w AS y13
         FROM series WINDOW w AS (PARTITION BY event_type ORDER BY t))
         SELECT 'd1' AS kind, event_type, t, round(y - y1 + 1e-8, 4) AS z FROM lagged
-        UNION ALL SELECT 'd1_D1_s12', event_type, t, round(y - y1 - y12 + y13 + 1e-8, 4) FROM lagged""",
+        UNION ALL SELECT 'd1_D1_s12', event_type, t, round(y - y1 - y12 + y13 + 1e-8, 4) AS z FROM lagged""",
     "arima_fit": f"""WITH {LOCATED}, {AR1}, {AR1_FIT}, walk AS (
           SELECT event_type, count(*) AS m, sum((y - y1) * (y1 - y2)) / sum((y1 - y2) ^ 2) AS phi,
             (sum((y - y1) ^ 2) - sum((y - y1) * (y1 - y2)) ^ 2 / sum((y1 - y2) ^ 2)) / count(*) AS sigma2
@@ -352,7 +352,8 @@ ORACLES: dict[str, str] = {
     "its_points_ar1": f"""WITH {AR1_POINTS} SELECT 'mid' AS analysis_id, event_type, t, strftime(ts, {STAMP}) AS ts, is_post,
         {rounded('observed', 'counterfactual', 'cf_lower', 'cf_upper')}, round(counterfactual + 1e-8, 4) AS fitted, round(observed - counterfactual + 1e-8, 4) AS effect FROM points""",
     "its_effects_ar1": f"""WITH {AR1_POINTS}, {summary('points', 'event_type')},
-        residuals AS (SELECT event_type, t, observed - counterfactual AS residual FROM points WHERE NOT is_post), {ljung_box('residuals')}
+        residuals AS (SELECT event_type, t, observed - counterfactual AS residual FROM points JOIN sized USING (event_type) WHERE t >= first_t AND t < idx),
+        {ljung_box('residuals')}
         SELECT 'mid' AS analysis_id, event_type, {rounded('effect', 'effect_pct', 'cf_ci_lower', 'cf_ci_upper', 'effect_ci_lower', 'effect_ci_upper', 'p_value')},
         p_value < 0.05 AS significant, direction, n_pre, n_post, round(p + 1e-8, 4) AS ljung_box_pvalue, p > 0.05 AS residuals_ok
         FROM effects JOIN checks USING (event_type)""",

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.arima import ArimaPlan
 from tidemark.operators.did import did_effects, panel_moments, parallel_trends, spec_check
-from tidemark.operators.series import index_series, locate_interventions, to_series
+from tidemark.operators.series import index_series, locate_interventions, own_rows, prepare, to_series
 from tidemark.operators.structural import LocalLevelPlan
 from tidemark.operators.synth import sc_effects, sc_panel, sc_points, sc_weights, weights_map
+from tidemark.session import checkpointed
 
 # The names of the methods.
 SERIES_METHODS = ("arima", "bsts", "sarimax")
@@ -58,15 +59,14 @@ def _unified(effects: DataFrame, method: str, key: str) -> DataFrame:
 
 
 def series_effects(
-    rows: DataFrame, key: str, ts: str, y: str, specs: Sequence[tuple[str, str]], method: str, grain: str | None = None
+    blocked: DataFrame, key: str, specs: Sequence[tuple[str, str]], method: str
 ) -> DataFrame:
     """Effects of the single-series methods, one row per analysis and series, with its status."""
     keys = [key]
-    series = index_series(to_series(rows, keys, ts, y, grain), keys, grain)
-    located = locate_interventions(series, keys, specs)
+    located = checkpointed(locate_interventions(own_rows(blocked), keys, specs))
     plan = (
-        LocalLevelPlan(series, located, keys) if method == "bsts"
-        else ArimaPlan(series, located, keys, seasonal=method == "sarimax")
+        LocalLevelPlan(blocked, located, keys) if method == "bsts"
+        else ArimaPlan(blocked, located, keys, seasonal=method == "sarimax")
     )
     models = plan.models()
     effects = plan.effects(models, plan.points(models)).drop("n_pre", "n_post")
@@ -78,14 +78,14 @@ def panel_effects(rows: DataFrame, key: str, ts: str, y: str, analyses: Sequence
     """Effects of the panel methods, one row per analysis, with its status."""
     specs = [(a.analysis_id, a.treatment_unit, a.intervention_ts) for a in analyses]
     if method == "did":
-        moments = panel_moments(rows, key, ts, y)
+        moments = checkpointed(panel_moments(rows, key, ts, y))
         trends = parallel_trends(moments, specs).select("analysis_id", "parallel_trends_p")
         effects = did_effects(moments, specs).join(trends, "analysis_id", "left").withColumns(
             {"n_pre": F.col("n_treated_pre"), "n_post": F.col("n_treated_post")}
         )
         checks = spec_check(moments, specs)
     else:
-        panel = sc_panel(rows, key, ts, y)
+        panel = checkpointed(sc_panel(rows, key, ts, y))
         checks = spec_check(panel, specs)
         weights = sc_weights(panel, specs)
         effects = sc_effects(sc_points(panel, weights, specs)).join(weights_map(weights), "analysis_id", "left")
@@ -107,11 +107,13 @@ def causal_effects(
     """
     check_analyses(analyses)
     parts = []
+    if any(a.method in SERIES_METHODS for a in analyses):
+        blocked = prepare(index_series(to_series(rows, [key], ts, y, grain), [key], grain), [key])
     for method in METHODS:
         chosen = [a for a in analyses if a.method == method]
         if chosen and method in SERIES_METHODS:
             specs = [(a.analysis_id, a.intervention_ts) for a in chosen]
-            parts.append(series_effects(rows, key, ts, y, specs, method, grain))
+            parts.append(series_effects(blocked, key, specs, method))
         elif chosen:
             parts.append(panel_effects(rows, key, ts, y, chosen, method))
     return reduce(DataFrame.unionByName, parts)

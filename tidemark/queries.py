@@ -12,7 +12,7 @@ from tidemark.operators import clean, detect, did, inference, placebo, report, s
 from tidemark.operators.arima import ArimaPlan, candidate_orders, difference, seasonal_period
 from tidemark.operators.structural import LocalLevelPlan
 from tidemark.plans.effects import Analysis, causal_effects
-from tidemark.session import shared_folder
+from tidemark.session import checkpointed, shared_folder
 from tidemark.sources.export import export_points, write_points
 from tidemark.sources.tables import read_table, scan_csv
 
@@ -55,6 +55,12 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
     return series.index_series(rows, KEY, "hour")
 
 
+def prepared_hourly(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Hourly series by event type in blocks, and their analyses."""
+    blocked = series.prepare(hourly(spark, d), KEY)
+    return blocked, located(series.own_rows(blocked))
+
+
 def located(indexed: DataFrame, **kwargs) -> DataFrame:
     return series.locate_interventions(indexed, KEY, ONE, **kwargs)
 
@@ -78,13 +84,13 @@ SEGMENTS = [("building", "BUILDING", ORDERS_AT), ("machinery", "MACHINERY", "199
 
 
 def segment_moments(spark: SparkSession, d: str) -> DataFrame:
-    return did.panel_moments(segment_rows(spark, d), "unit", "ts", "y")
+    return checkpointed(did.panel_moments(segment_rows(spark, d), "unit", "ts", "y"))
 
 
 def status_panel(spark: SparkSession, d: str) -> DataFrame:
     """Monthly mean order value by order status: one treated unit and two donors."""
     rows = read_table(spark, d, "orders").withColumn("month", F.date_trunc("month", "o_orderdate"))
-    return synth.sc_panel(rows, "o_orderstatus", "month", "o_totalprice")
+    return checkpointed(synth.sc_panel(rows, "o_orderstatus", "month", "o_totalprice"))
 
 
 STATUS = [("p", "P", ORDERS_AT)]
@@ -336,8 +342,8 @@ def fixed_order(p, dd, q):
 
 
 def ar1_plan(spark, d, dd=0):
-    h = hourly(spark, d)
-    return ArimaPlan(h, located(h).withColumn("order", fixed_order(1, dd, 0)), KEY)
+    blocked, found = prepared_hourly(spark, d)
+    return ArimaPlan(blocked, found.withColumn("order", fixed_order(1, dd, 0)), KEY)
 
 
 @query
@@ -353,8 +359,7 @@ def arima_fit(spark, d):
 
 @query
 def arima_order_aic(spark, d):
-    h = hourly(spark, d)
-    tried = ArimaPlan(h, located(h), KEY).candidates()
+    tried = ArimaPlan(*prepared_hourly(spark, d), KEY).candidates()
     return shown(tried.select(*BY, F.inline("candidates")))
 
 
@@ -377,7 +382,7 @@ def arima_forecast(spark, d):
 @query
 def its_points_ar1(spark, d):
     plan = ar1_plan(spark, d)
-    return shown(plan.points(plan.models()))
+    return shown(plan.points(plan.models()).drop("fit_t"))
 
 
 @query
@@ -392,30 +397,28 @@ def its_effects_ar1(spark, d):
 
 @query
 def its_points(spark, d):
-    h = hourly(spark, d)
-    plan = ArimaPlan(h, located(h), KEY)
-    return shown(plan.points(plan.models()))
+    plan = ArimaPlan(*prepared_hourly(spark, d), KEY)
+    return shown(plan.points(plan.models()).drop("fit_t"))
 
 
 @query
 def its_effects(spark, d):
-    h = hourly(spark, d)
-    plan = ArimaPlan(h, located(h), KEY)
+    plan = ArimaPlan(*prepared_hourly(spark, d), KEY)
     models = plan.models()
     return shown(plan.effects(models, plan.points(models)))
 
 
 @query
 def sarimax_fit(spark, d):
-    h = hourly(spark, d)
-    models = ArimaPlan(h, located(h), KEY, seasonal=True).models()
+    models = ArimaPlan(*prepared_hourly(spark, d), KEY, seasonal=True).models()
     return shown(models.select(*BY, "arima_order", "seasonal_order", "model.aic", "model.sigma2"))
 
 
 @query
 def sarimax_effects(spark, d):
-    o = daily_orders(spark, d)
-    plan = ArimaPlan(o, series.locate_interventions(o, ["o_orderpriority"], [("orders", ORDERS_AT)]), ["o_orderpriority"], seasonal=True)
+    blocked = series.prepare(daily_orders(spark, d), ["o_orderpriority"])
+    found = series.locate_interventions(series.own_rows(blocked), ["o_orderpriority"], [("orders", ORDERS_AT)])
+    plan = ArimaPlan(blocked, found, ["o_orderpriority"], seasonal=True)
     models = plan.models()
     return shown(plan.effects(models, plan.points(models)))
 
@@ -436,8 +439,7 @@ def ljung_box(spark, d):
 
 @query
 def local_level_effects(spark, d):
-    h = hourly(spark, d)
-    plan = LocalLevelPlan(h, located(h), KEY)
+    plan = LocalLevelPlan(*prepared_hourly(spark, d), KEY)
     models = plan.models()
     return shown(plan.effects(models, plan.points(models)))
 
@@ -483,7 +485,7 @@ def did_inference(spark, d):
 
 @query
 def did_points(spark, d):
-    moments = did.panel_moments(segment_rows(spark, d), "unit", "month", "y")
+    moments = checkpointed(did.panel_moments(segment_rows(spark, d), "unit", "month", "y"))
     return shown(did.did_points(moments, SEGMENTS))
 
 
@@ -508,7 +510,7 @@ def sc_panel(spark, d):
 
 @query
 def sc_gram(spark, d):
-    panel = synth.sc_panel(segment_rows(spark, d), "unit", "month", "y")
+    panel = checkpointed(synth.sc_panel(segment_rows(spark, d), "unit", "month", "y"))
     return shown(synth.donor_products(panel, SEGMENTS), 1)
 
 
@@ -520,7 +522,7 @@ def sc_weights(spark, d):
 
 @query
 def sc_weights_nations(spark, d):
-    panel = synth.sc_panel(segment_rows(spark, d), "c_nationkey", "month", "y")
+    panel = checkpointed(synth.sc_panel(segment_rows(spark, d), "c_nationkey", "month", "y"))
     return shown(synth.sc_weights(panel, [(f"nation {i}", str(i), ORDERS_AT) for i in range(3)]))
 
 
@@ -554,8 +556,8 @@ def placebo_indices(spark, d):
 
 
 def ar1_placebos(spark, d):
-    h = hourly(spark, d)
-    return placebo.placebo_effects(h, located(h).withColumn("order", fixed_order(1, 0, 0)), KEY, None)
+    blocked, found = prepared_hourly(spark, d)
+    return placebo.placebo_effects(blocked, found.withColumn("order", fixed_order(1, 0, 0)), KEY, None)
 
 
 @query
@@ -565,8 +567,7 @@ def placebo_effects_ar1(spark, d):
 
 @query
 def placebo_effects(spark, d):
-    h = hourly(spark, d)
-    return shown(placebo.placebo_effects(h, located(h), KEY))
+    return shown(placebo.placebo_effects(*prepared_hourly(spark, d), KEY))
 
 
 @query

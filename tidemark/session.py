@@ -40,10 +40,7 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
-
-    The partitioning of ``df`` survives, so later joins and windows on the same keys need no shuffle.
-    """
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
