@@ -227,7 +227,7 @@ class Grid:
         errors = [error[0] + error[1 : error.size - k] @ recent[1 + k : error.size] for k in range(theta.size)]
         return Fit(
             aic, sigma2, float(beta[0]) if spec.constant else 0.0,
-            -np.convolve(np.r_[1.0, -phi], poly)[1:], theta, np.array(errors), float(predict[0]), predict[2:],
+            -np.convolve(np.r_[1.0, -(phi if phi.size else np.zeros(1))], poly)[1:], theta, np.array(errors), float(predict[0]), predict[2:],
         )
 
 
