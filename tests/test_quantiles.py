@@ -28,7 +28,9 @@ def test_exact_quantiles_equal_numpy(spark, monkeypatch, whole):
         assert [got[g][f"q{i}"] for i in range(len(PROBS))] == pytest.approx(list(np.quantile(v, PROBS)), rel=1e-12), g
 
 
-def test_without_keys(spark):
-    v = np.random.default_rng(2).exponential(size=999)
+@pytest.mark.parametrize("small", [10, 10_000])
+def test_without_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(quantiles, "_SMALL", small)
+    v = np.random.default_rng(2).exponential(size=9999)
     row = quantiles.exact_quantiles(spark.createDataFrame(pd.DataFrame({"v": v})), [], "v", [0.25, 0.75]).first()
     assert [row.q0, row.q1] == pytest.approx(list(np.quantile(v, [0.25, 0.75])))

@@ -1,72 +1,105 @@
 """Exact, linearly interpolated quantiles of groups of any size.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task.  Here a bounded sketch first
-brackets each quantile; only the few values inside the bracket are then ranked, the rest are counted.
+brackets each quantile; values below a bracket are counted where they lie, and only the few inside are
+shuffled and ranked.  A group small enough for one task is ranked whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import join_per_key
+from tidemark.session import checkpointed
 
-_ACCURACY = 100_000
+_ACCURACY = 20_000
 _MARGIN = 3 / _ACCURACY  # the sketch is off by at most 1 / accuracy in rank
-_SMALL = 4 / _MARGIN  # groups too small for the margin to span a few ranks are ranked whole
+_SMALL = 4 / _MARGIN  # up to this many rows a group is ranked whole
+_WHOLE = -1
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """(keys, n, q0, q1, ...): one column per probability, as pandas' default interpolation gives them."""
+def exact_quantiles_of(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    """(keys, column_name, n, q0, q1, ...) for several columns, all read in the same passes."""
     keys = list(keys)
-    values = df.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null")
-    # Equal values are counted once, so that ties never widen a bracket.
-    counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    lows = F.array(*[F.lit(max(0.0, p - _MARGIN)) for p in probs])
-    highs = F.array(*[F.lit(min(1.0, p + _MARGIN)) for p in probs])
-    sketch = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("smallest"),
-        F.max("v").alias("largest"),
-        F.percentile_approx("v", lows, _ACCURACY).alias("lows"),
-        F.percentile_approx("v", highs, _ACCURACY).alias("highs"),
-    )
+    cells = [(c, i) for c in range(len(columns)) for i in range(len(probs))]
+    values = df.select(*keys, *[F.col(f"`{name}`").cast("double").alias(f"v{c}") for c, name in enumerate(columns)])
+    bounds = [max(0.0, p - _MARGIN) for p in probs] + [min(1.0, p + _MARGIN) for p in probs]
+    sketch = checkpointed(values.groupBy(*keys).agg(*[
+        column
+        for c in range(len(columns))
+        for column in (F.count(f"v{c}").alias(f"n{c}"), F.percentile_approx(f"v{c}", bounds, _ACCURACY).alias(f"b{c}"))
+    ]))
+    # At the ends the bracket is open: a sketch may miss the extreme values themselves.
     brackets = sketch.select(
         *keys,
-        "n",
-        *[F.when((F.lit(p) <= _MARGIN) | (F.col("n") < _SMALL), F.col("smallest"))
-          .otherwise(F.get("lows", F.lit(i))).alias(f"lo{i}") for i, p in enumerate(probs)],
-        *[F.when((F.lit(p) >= 1 - _MARGIN) | (F.col("n") < _SMALL), F.col("largest"))
-          .otherwise(F.get("highs", F.lit(i))).alias(f"hi{i}") for i, p in enumerate(probs)],
+        *[f"n{c}" for c in range(len(columns))],
+        *[F.expr(f"n{c} <= {_SMALL} AS small{c}") for c in range(len(columns))],
+        *[(F.lit(float("-inf")) if probs[i] <= _MARGIN else F.get(f"b{c}", F.lit(i))).alias(f"lo{c}_{i}") for c, i in cells],
+        *[(F.lit(float("inf")) if probs[i] >= 1 - _MARGIN else F.get(f"b{c}", F.lit(len(probs) + i))).alias(f"hi{c}_{i}")
+          for c, i in cells],
     )
-    placed = join_per_key(counted, brackets, keys)
-    below = placed.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.coalesce(F.sum(F.when(F.col("v") < F.col(f"lo{i}"), F.col("c"))), F.lit(0)).alias(f"below{i}")
-          for i in range(len(probs))],
+    placed = join_per_key(values, brackets, keys)
+    below = placed.groupBy(*keys).agg(*[F.expr(f"count_if(v{c} < lo{c}_{i}) AS below{c}_{i}") for c, i in cells])
+
+    def held(c: int) -> DataFrame:
+        """Values of one column inside a bracket that is not settled yet, with the bracket they are in."""
+        marks = ", ".join(
+            f"CASE WHEN NOT small{c} AND lo{c}_{i} < hi{c}_{i} AND v{c} BETWEEN lo{c}_{i} AND hi{c}_{i} THEN {i} END"
+            for i in range(len(probs))
+        )
+        return placed.where(f"v{c} IS NOT NULL").select(
+            *keys, F.lit(c).alias("c"), F.col(f"v{c}").alias("v"),
+            F.explode(F.expr(f"CASE WHEN small{c} THEN array({_WHOLE}) ELSE array_compact(array({marks})) END")).alias("i"),
+        )
+
+    # One branch per column: each reads that column only.
+    inside = reduce(DataFrame.unionByName, [held(c) for c in range(len(columns))]).groupBy(*keys, "c", "i", "v").agg(
+        F.count(F.lit(1)).alias("count")
     )
-    inside = placed.select(
-        *keys, "v", "c",
-        F.explode(F.array_compact(F.array(*[
-            F.when(F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}")), F.lit(i)) for i in range(len(probs))
-        ]))).alias("i"),
+    running = Window.partitionBy(*keys, "c", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # A bracket that is a single value is the quantile already; the others start empty.
+    facts = F.array(*[
+        F.struct(
+            F.lit(c).alias("c"), F.lit(name).alias("column_name"), F.col(f"n{c}").alias("n"),
+            F.array(*[F.expr(f"CASE WHEN NOT small{c} AND lo{c}_{i} = hi{c}_{i} THEN lo{c}_{i} END") for i in range(len(probs))])
+            .alias("tied"),
+            F.array(*[F.col(f"below{c}_{i}") for i in range(len(probs))]).alias("belows"),
+        )
+        for c, name in enumerate(columns)
+    ])
+    known = join_per_key(brackets, below, keys).select(*keys, F.inline(facts))
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    ranked = (
+        join_per_key(inside.withColumn("upto", F.sum("count").over(running)), known, [*keys, "c"])
+        .withColumn("of", F.explode(F.filter(asked, lambda a: (F.col("i") == _WHOLE) | (a["i"] == F.col("i")))))
+        .withColumn("below", F.when(F.col("i") == _WHOLE, 0).otherwise(F.get("belows", F.col("i"))))
     )
-    running = Window.partitionBy(*keys, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = join_per_key(inside.withColumn("upto", F.sum("c").over(running)), below, keys)
-    offset = F.element_at(F.array(*[F.col(f"below{i}") for i in range(len(probs))]), F.col("i") + 1)
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
-    position = prob * (F.col("n") - 1)
-    last = offset + F.col("upto") - 1  # highest 0-based rank this value holds
-    first = last - F.col("c") + 1
-    # The quantile is a weighted pair of neighbours; each value contributes its share.
-    floor, ceil = F.floor(position), F.ceil(position)
-    share = F.when(floor.between(first, last), 1 - (position - floor)).otherwise(0.0) + F.when(
-        (ceil > floor) & ceil.between(first, last), position - floor
+    at = F.col("of.p") * (F.col("n") - 1)
+    last = F.col("below") + F.col("upto") - 1
+    first = last - F.col("count") + 1  # the 0-based ranks a value holds are first .. last
+    # A quantile is a weighted pair of neighbours; each value contributes its share.
+    floor, ceil = F.floor(at), F.ceil(at)
+    share = F.when(floor.between(first, last), 1 - (at - floor)).otherwise(0.0) + F.when(
+        (ceil > floor) & ceil.between(first, last), at - floor
     ).otherwise(0.0)
-    picked = ranked.select(*keys, "i", "n", (F.col("v") * share).alias("part"), share.alias("share")).where("share > 0")
-    return picked.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.sum(F.when(F.col("i") == i, F.col("part"))).alias(f"q{i}") for i in range(len(probs))],
+    picked = (
+        ranked.select(*keys, "c", F.col("of.i").alias("i"), (F.col("v") * share).alias("part"), share.alias("share"))
+        .where("share > 0")
+        .groupBy(*keys, "c")
+        .agg(*[F.sum(F.when(F.col("i") == i, F.col("part"))).alias(f"ranked{i}") for i in range(len(probs))])
     )
+    return join_per_key(known, picked, [*keys, "c"], "left").select(
+        *keys, "column_name", "n",
+        *[F.coalesce(f"ranked{i}", F.get("tied", F.lit(i))).alias(f"q{i}") for i in range(len(probs))],
+    )
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(keys, n, q0, q1, ...): one column per probability, as pandas' default interpolation gives them."""
+    return exact_quantiles_of(df, keys, [value], probs).drop("column_name")

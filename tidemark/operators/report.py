@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import exact_quantiles_of
 from tidemark.operators.series import join_per_key
 
 
@@ -139,17 +139,15 @@ def series_profile(df: DataFrame, keys: Sequence[str], ts: str, y: str) -> DataF
 def describe_table(df: DataFrame) -> DataFrame:
     """One row per numeric column: count, mean, std, min, exact quartiles, max."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in numeric
-    ])).alias("cell")).select("cell.*")
-    basics = long.groupBy("column_name").agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
-    quartiles = exact_quantiles(long, ["column_name"], "v", [0.25, 0.5, 0.75])
+    one_row = df.agg(*[
+        F.expr(
+            f"struct('{c}' AS column_name, count(`{c}`) AS count, avg(`{c}`) AS mean, stddev_samp(`{c}`) AS std, "
+            f"double(min(`{c}`)) AS min, double(max(`{c}`)) AS max) AS c{i}"
+        )
+        for i, c in enumerate(numeric)
+    ])
+    basics = one_row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(numeric))])))
+    quartiles = exact_quantiles_of(df, [], numeric, [0.25, 0.5, 0.75])
     return basics.join(quartiles.drop("n"), "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"),
         F.col("q2").alias("p75"), "max",

@@ -121,7 +121,7 @@ def per_block(table: DataFrame, n: str) -> DataFrame:
     return table.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
 
 
-def join_per_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_per_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Joins a few facts per key to the rows of that key; without keys the facts are a single row.
 
     Small facts are broadcast by their measured size.  Beyond that a hot key is split by the skew join of
@@ -129,7 +129,7 @@ def join_per_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> Data
     rely on the layout of the join.
     """
     tie = F.xxhash64(*keys) if keys else F.lit(1)
-    return rows.withColumn("_tie", tie).join(facts.withColumn("_tie", tie), [*keys, "_tie"]).drop("_tie")
+    return rows.withColumn("_tie", tie).join(facts.withColumn("_tie", tie), [*keys, "_tie"], how).drop("_tie")
 
 
 def attach_specs(series: DataFrame, specs: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
