@@ -116,6 +116,8 @@ def _moments(located: DataFrame, lagged: DataFrame, keys: Sequence[str], depth:
         (F.col("t") == depth - 1) | F.array_contains("cuts", F.col("t") + 1)
     ).select(*keys, (F.col("t") + 1).alias("cut"), F.transform("lags", lambda v: v - F.col("pivot")).alias("tail"))
     heads = ends.where(F.col("cut") == depth).select(*keys, F.col("tail").alias("long_head"))
+    # A row is small but costs milliseconds to fit, so the number of tasks must not follow from the bytes.
+    tasks = int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         located.withColumn("cut", F.col("idx"))
         .join(sums, [*keys, "cut"])
@@ -123,6 +125,7 @@ def _moments(located: DataFrame, lagged: DataFrame, keys: Sequence[str], depth:
         .join(heads, list(keys), "left")
         .withColumn("head", F.reverse(F.when(F.col("cut") > depth, F.col("long_head")).otherwise(F.col("tail"))))
         .drop("cut", "long_head")
+        .repartition(tasks, "analysis_id", *keys)
     )
 
 

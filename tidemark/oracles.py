@@ -267,7 +267,7 @@ ORACLES: dict[str, str] = {
         SELECT analysis_id, event_type, count(*) FILTER (ts < since) AS n_before, count(*) FILTER (ts >= since) AS n_after,
         round(avg(value) FILTER (ts < since) + 1e-8, 4) AS mean_before, round(avg(value) FILTER (ts >= since) + 1e-8, 4) AS mean_after
         FROM specs JOIN events USING (event_type) GROUP BY 1, 2""",
-    "export_points_parquet": f"""WITH {POINTS} SELECT 'mid-' || event_type AS analysis_id, strftime(ts, {STAMP}) AS date,
+    "export_points": f"""WITH {POINTS} SELECT 'mid-' || event_type AS analysis_id, strftime(ts, {STAMP}) AS date,
         {rounded('observed', 'counterfactual')} FROM points""",
     "detect_date_column": f"""WITH {DIRTY} SELECT ordinal, column_name, round(rate + 1e-8, 4) AS date_rate
         FROM ({profile(is_date)}) WHERE rate > 0.5 ORDER BY ordinal LIMIT 1""",
@@ -346,7 +346,7 @@ ORACLES: dict[str, str] = {
         both_fits AS (SELECT event_type, 0 AS d, const, phi, sigma2, m, 3 AS k FROM fits UNION ALL SELECT event_type, 1, 0.0, phi, sigma2, m, 2 FROM walk)
         SELECT 'mid' AS analysis_id, event_type, d::BIGINT AS d, {rounded('const', 'phi', 'sigma2')},
           round(m * (ln(2 * pi() * sigma2) + 1) + 2 * k + 1e-8, 4) AS aic FROM both_fits""",
-    "seasonal_periods": """SELECT series_key, n, CASE WHEN n > 10000 THEN 0 WHEN n > 3000 THEN 7 WHEN n > 200 THEN 12 WHEN n > 50 THEN 4 ELSE 0 END::BIGINT AS period
+    "seasonal_period": """SELECT series_key, n, CASE WHEN n > 10000 THEN 0 WHEN n > 3000 THEN 7 WHEN n > 200 THEN 12 WHEN n > 50 THEN 4 ELSE 0 END::BIGINT AS period
         FROM (SELECT 'user ' || user_id AS series_key, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY 1)""",
     "arima_forecast": f"WITH {AR1_POINTS} SELECT 'mid' AS analysis_id, event_type, t, round(counterfactual + 1e-8, 4) AS mean, round(se + 1e-8, 4) AS se FROM points WHERE is_post",
     "its_points_ar1": f"""WITH {AR1_POINTS} SELECT 'mid' AS analysis_id, event_type, t, strftime(ts, {STAMP}) AS ts, is_post,

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import clean, detect, did, inference, placebo, report, series, subgroup, synth, whatif
-from tidemark.operators.arima import ArimaPlan, candidate_orders, difference, seasonal_period
+from tidemark.operators.arima import ArimaPlan, candidate_orders, difference
+from tidemark.operators.arima import seasonal_period as period_for
 from tidemark.operators.structural import LocalLevelPlan
 from tidemark.plans.effects import Analysis, causal_effects
 from tidemark.session import checkpointed, shared_folder
-from tidemark.sources.export import export_points, write_points
+from tidemark.sources.export import write_points
 from tidemark.sources.tables import read_table, scan_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,7 +159,7 @@ def analysis_specs(spark, d):
 
 
 @query
-def export_points_parquet(spark, d):
+def export_points(spark, d):
     path = shared_folder(spark, "points")
     write_points(mean_points(spark, d).withColumn("analysis_id", F.concat_ws("-", "analysis_id", "event_type")), path)
     return shown(spark.read.parquet(path).select(F.col("analysis_id").cast("string"), "date", "observed", "counterfactual"))
@@ -364,13 +365,13 @@ def arima_order_aic(spark, d):
 
 
 @query
-def seasonal_periods(spark, d):
+def seasonal_period(spark, d):
     n_events = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     n_orders = read_table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     sizes = n_events.select(F.concat(F.lit("user "), "user_id").alias("series_key"), "n").unionByName(
         n_orders.select(F.col("o_orderpriority").alias("series_key"), "n")
     )
-    return sizes.select("series_key", "n", seasonal_period(F.col("n")).cast("long").alias("period"))
+    return sizes.select("series_key", "n", period_for(F.col("n")).cast("long").alias("period"))
 
 
 @query
