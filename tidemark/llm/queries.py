@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import anomaly_rules, weak_quality
+from tidemark.llm import anomaly_rules, simhash, weak_quality
 from tidemark.llm.common import table
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return weak_quality.quality_verdicts(docs, weak_quality.fit_quality(docs, table(spark, folder, "labels")))
@@ -21,6 +25,7 @@ def op10_anomaly_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash": op5_simhash,
     "op9_weak_labels": op9_weak_labels,
     "op10_anomaly_rules": op10_anomaly_rules,
 }
