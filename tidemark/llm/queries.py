@@ -5,11 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import anomaly_rules, simhash, weak_quality
+from tidemark.llm import anomaly_rules, mixing, packing, simhash, weak_quality
 from tidemark.llm.common import table
 
 
+def tokenizer() -> str:
+    """The vocabulary file that the contract of op2 names."""
+    import public_tokenizers
+
+    return packing.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """Packed pieces with a digest of their ids in place of the ids."""
+    return packing.packed(docs, tokenizer()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces(table(spark, folder, "documents"))
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, folder, "documents"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -25,6 +46,8 @@ def op10_anomaly_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
     "op5_simhash": op5_simhash,
     "op9_weak_labels": op9_weak_labels,
     "op10_anomaly_rules": op10_anomaly_rules,
