@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import anomaly_rules, chat, mixing, packing, prefix_forest, simhash, weak_quality
+from tidemark.llm import anomaly_rules, chat, mixing, packing, ppm, prefix_forest, simhash, weak_quality
 from tidemark.llm.common import per_batch, table
 
 
@@ -37,6 +37,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(table(spark, folder, "documents"))
 
 
+def op4_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.scores(table(spark, folder, "documents"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_forest": op1_prefix_forest,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_ppm": op4_ppm,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
     "op9_weak_labels": op9_weak_labels,
