@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import anomaly_rules, chat, mixing, packing, ppm, prefix_forest, simhash, weak_quality
+from tidemark.llm import anomaly_rules, chat, html_blocks, mixing, packing, ppm, prefix_forest, simhash, weak_quality
 from tidemark.llm.common import per_batch, table
 
 
@@ -69,6 +69,11 @@ def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.expr("try_cast(substring(tree, 2) as bigint)").alias("conv_id"), *names)
 
 
+def op7_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_blocks.extracted(pages, html_blocks.fit_labeller(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return weak_quality.quality_verdicts(docs, weak_quality.fit_quality(docs, table(spark, folder, "labels")))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ppm": op4_ppm,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
+    "op7_html": op7_html,
     "op9_weak_labels": op9_weak_labels,
     "op10_anomaly_rules": op10_anomaly_rules,
 }
