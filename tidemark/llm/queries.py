@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import anomaly_rules, chat, html_blocks, mixing, packing, ppm, prefix_forest, simhash, weak_quality
+from tidemark.llm import anomaly_rules, chat, html_blocks, licenses, mixing, packing, ppm, prefix_forest, simhash, weak_quality
 from tidemark.llm.common import per_batch, table
 
 
@@ -74,6 +74,11 @@ def op7_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extracted(pages, html_blocks.fit_labeller(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licenses.licence_scan(docs, licenses.fit_licences(docs))
+
+
 def op9_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return weak_quality.quality_verdicts(docs, weak_quality.fit_quality(docs, table(spark, folder, "labels")))
@@ -92,9 +97,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
     "op7_html": op7_html,
+    "op8_licenses": op8_licenses,
     "op9_weak_labels": op9_weak_labels,
     "op10_anomaly_rules": op10_anomaly_rules,
 }
 
 #: The same answers in SQL, where SQL can say them.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS name, length(coalesce(text, '')) + 1 AS units,
+         md5(coalesce(cast(doc_id AS varchar), '') || '|' || coalesce(text, '')) AS key
+  FROM documents
+), totals AS (SELECT name, sum(units)::BIGINT AS units, pow(sum(units)::DOUBLE, 0.5) AS target FROM docs GROUP BY name
+), cumulated AS (
+  SELECT name, units, greatest(1024, 4 * count(*) OVER ())::BIGINT AS period, count(*) OVER () AS n,
+         sum(target) OVER (ORDER BY name) / sum(target) OVER () AS upto
+  FROM totals
+), ended AS (SELECT *, round(upto * (period - n))::BIGINT AS finish FROM cumulated
+), shared AS (SELECT name, units, period, 1 + finish - coalesce(lag(finish) OVER (ORDER BY name), 0) AS share FROM ended
+), src AS (SELECT list(share ORDER BY name) AS w, list(name ORDER BY name) AS names, any_value(period) AS h FROM shared
+), edf AS (
+  SELECT -1::BIGINT AS t, list_transform(w, lambda x: 0::BIGINT) AS taken, NULL::BIGINT AS pick, NULL::BIGINT AS turn FROM src
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, len(w) + 1), lambda i: taken[i] + (i = p)::BIGINT), p, taken[p]
+  FROM (
+    SELECT t, taken, w, list_sort(list_filter(list_transform(range(1, len(w) + 1), lambda i:
+             CASE WHEN taken[i] < w[i] AND (taken[i] * h) // w[i] <= t + 1 THEN {'due': ((taken[i] + 1) * h + w[i] - 1) // w[i], 'i': i} END), lambda x: x IS NOT NULL))[1].i AS p
+    FROM edf, src WHERE t + 1 < h)
+), slots AS (
+  SELECT shared.name, edf.turn, edf.t AS slot, share, period, (edf.turn * period) // share AS released, ((edf.turn + 1) * period + share - 1) // share AS due, units
+  FROM edf, src JOIN shared ON shared.name = src.names[edf.pick] WHERE edf.pick IS NOT NULL
+), ran_out AS (
+  SELECT min((ceil(units / 65536)::BIGINT // share) * period + slot) AS slot FROM slots WHERE turn = ceil(units / 65536)::BIGINT % share
+), placed AS (
+  SELECT *, sum(units) OVER (PARTITION BY name ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - units AS start FROM docs
+), blocked AS (SELECT *, start // 65536 AS block FROM placed)
+SELECT doc_id, source, (block // share) * period + s.slot AS slot, start, b.units, block, (block // share) * period + released AS "release",
+       (block // share) * period + due AS deadline, share, period, (block // share) * period + s.slot < (SELECT slot FROM ran_out) AS balanced
+FROM blocked b JOIN slots s ON s.name = b.name AND s.turn = b.block % s.share""",
+    "op6_chat": r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 10 + 1)::BIGINT AS formatted_chars
+FROM rows_ GROUP BY conv_id""",
+}
