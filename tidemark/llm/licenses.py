@@ -173,7 +173,8 @@ def licence_scan(docs: DataFrame, model: LicenceModel, overlap: float = 0.7) ->
     ``licences`` are the confirmed families; the rest describes the confirmed paragraph of highest probability.
     """
     names = [f"z{k}" for k in range(len(CLASSES))]
-    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # numbered before lines are made
+    lines = rows.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
     seen = lines.select("doc_id", "row", "paragraph", F.explode(F.when(F.col("paragraph") == 0, F.concat(F.array(F.lit("")), grams(F.col("line")))).otherwise(grams(F.col("line")))).alias("gram"))
     hits = seen.join(F.broadcast(model.features), "gram")
     per_line = hits.groupBy("row", "doc_id", "paragraph").agg(F.collect_set("gram").alias("grams"), *((F.sum(F.col("weights")[k]) + model.constants[k]).alias(n) for k, n in enumerate(names)))
