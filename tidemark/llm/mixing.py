@@ -17,7 +17,8 @@ slot comes before the first empty one.  No row is dropped or repeated.
 
 Defined cases: a null text is empty; null sources are one source of their own; null ids are ordered by their text;
 repeated rows get places of their own, next to each other; weights for sources without documents are not used and
-sources without a weight get the least share, one slot in a period; an empty table gives an empty result.
+sources without a weight get the least share, one slot in a period;
+if no source has a weight all are alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,12 +45,13 @@ def shares(totals: DataFrame, weights: dict[str, float] | None, temperature: flo
         known = F.create_map(*(x for k, v in weights.items() for x in (F.lit(f"={k}"), F.lit(float(v)))))
         target = F.coalesce(known[F.col("name")], F.lit(0.0))
     every, upto = W.partitionBy(), W.orderBy("name")  # one row for each source
-    out = totals.select("name", "units", target.alias("target")).select(
+    out = totals.select("name", "units", target.alias("target"))
+    out = out.withColumn("target", F.when(F.sum("target").over(every) > 0, F.col("target")).otherwise(1.0)).select(
         "name", "units", F.count("*").over(every).alias("n"), F.sum("target").over(every).alias("sum"), F.sum("target").over(upto).alias("upto"), "target",
     )
     out = out.withColumn("period", F.greatest(F.lit(slots).cast("long"), 4 * F.col("n")))
-    end, begin = (F.round(F.coalesce(x / F.nullif("sum", F.lit(0.0)), F.lit(0.0)) * (F.col("period") - F.col("n"))) for x in (F.col("upto"), F.col("upto") - F.col("target")))
-    return out.select("name", "units", "period", "n", end.cast("long").alias("end"), begin.cast("long").alias("begin")).select(
+    end = F.round(F.col("upto") / F.col("sum") * (F.col("period") - F.col("n"))).cast("long")
+    return out.select("name", "units", "period", end.alias("end")).select(
         "name", "units", "period", (1 + F.col("end") - F.coalesce(F.lag("end").over(W.orderBy("name")), F.lit(0))).alias("share"),
     )
 
