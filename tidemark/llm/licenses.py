@@ -97,18 +97,19 @@ def words(text: Column) -> Column:
 
 
 def pairs(w: Column) -> Column:
-    return F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
+    rest = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def grams(text: Column) -> Column:
-    """The distinct words and pairs of neighbouring words."""
-    return F.array_distinct(F.concat(words(text), pairs(words(text))))
+def with_grams(df: DataFrame, text: str) -> DataFrame:
+    """``grams``: the distinct words and pairs of neighbouring words of a column.  Words are worked out once a row."""
+    return df.withColumn("words", words(F.col(text))).withColumn("grams", F.array_distinct(F.concat("words", pairs(F.col("words"))))).drop("words")
 
 
 def template_table(spark: SparkSession) -> DataFrame:
     """(family, template, needed): every template with its distinct word pairs."""
     rows = [(f, f"{f}/{k}", t) for f, texts in TEMPLATES.items() for k, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "family string, template string, text string").select("family", "template", "text", F.array_distinct(pairs(words(F.col("text")))).alias("needed"))
+    return spark.createDataFrame(rows, "family string, template string, text string").select("family", "template", "text", words(F.col("text")).alias("words")).select("family", "template", "text", F.array_distinct(pairs(F.col("words"))).alias("needed"))
 
 
 @dataclass(frozen=True)
@@ -143,10 +144,10 @@ def _probabilities(logits: list[Column], temperature: Column | float) -> Column:
 
 
 def fit_licences(docs: DataFrame, sample_paragraphs: int = 2_000, vocabulary: int = 16_384) -> LicenceModel:
-    rows = stored(_training_rows(docs, sample_paragraphs).select(grams(F.col("text")).alias("grams"), "label", "part"), "licences")
+    rows = stored(with_grams(_training_rows(docs, sample_paragraphs), "text").select("grams", "label", "part"), "licences")
     learnt, held = rows.where("part % 10 <> 3"), rows.where("part % 10 = 3")
     counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=1, binary=True).fit(learnt)
-    model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=2e-4, maxIter=60, standardization=False).fit(counter.transform(learnt))
+    model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=2e-4, maxIter=40, standardization=False).fit(counter.transform(learnt))
     matrix, constants = model.coefficientMatrix.toArray(), model.interceptVector.toArray()  # at most vocabulary x classes
     constants, matrix = list(map(float, constants)), matrix[:, : len(counter.vocabulary)]
     short = len(CLASSES) - len(constants)  # without paragraphs there is no unknown class to learn
@@ -175,7 +176,8 @@ def licence_scan(docs: DataFrame, model: LicenceModel, overlap: float = 0.7) ->
     names = [f"z{k}" for k in range(len(CLASSES))]
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # numbered before lines are made
     lines = rows.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
-    seen = lines.select("doc_id", "row", "paragraph", F.explode(F.when(F.col("paragraph") == 0, F.concat(F.array(F.lit("")), grams(F.col("line")))).otherwise(grams(F.col("line")))).alias("gram"))
+    first = F.when(F.col("paragraph") == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    seen = with_grams(lines, "line").select("doc_id", "row", "paragraph", F.explode(F.concat(first, "grams")).alias("gram"))
     hits = seen.join(F.broadcast(model.features), "gram")
     per_line = hits.groupBy("row", "doc_id", "paragraph").agg(F.collect_set("gram").alias("grams"), *((F.sum(F.col("weights")[k]) + model.constants[k]).alias(n) for k, n in enumerate(names)))
     chances = per_line.withColumn("chances", _probabilities([F.col(n) for n in names], model.temperature)).drop(*names)
