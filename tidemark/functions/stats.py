@@ -83,23 +83,27 @@ def t_quantile_975(df: Column) -> Column:
     return F.when(df >= 1, F.when(df > _DF_EXPAND, expansion).otherwise(bisected))
 
 
+def _log_gamma(x: Column) -> Column:
+    """log of the gamma function for x > 0: Stirling's series eight steps further up."""
+    up = x + 8.0
+    series = 1 / (12 * up) - 1 / (360 * F.pow(up, 3)) + 1 / (1260 * F.pow(up, 5)) - 1 / (1680 * F.pow(up, 7))
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda acc, k: acc + F.log(x + k))
+    return (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + series - steps
+
+
 def chi2_upper_p(x: Column, df: Column) -> Column:
-    """P(X >= x) for chi-square, from the series of the lower incomplete gamma function."""
-    half = x / 2
-    shape = df / 2
-    odd = df.cast("long") % 2
-    steps = ((df.cast("long") + odd) / 2).cast("long")
-    # gamma(shape + 1) from gamma(1) or gamma(1/2) upwards
-    gamma = F.aggregate(
-        _countdown(steps),
-        F.when(odd == 1, F.lit(math.sqrt(math.pi))).otherwise(F.lit(1.0)),
-        lambda acc, k: acc * (k - odd / 2),
-    )
-    tail = F.aggregate(
-        F.sequence(F.lit(400), F.lit(1), F.lit(-1)),
-        F.lit(1.0),
-        lambda acc, k: 1.0 + acc * half / (shape + k),
-    )
-    # gamma(shape + 1) for odd df: (shape)(shape - 1)...(1/2) sqrt(pi)
-    lower = F.pow(half, shape) * F.exp(-half) / gamma * tail
-    return F.when(x <= 0, 1.0).when(x > 200, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - lower))
+    """P(X >= x) for chi-square with any df > 0: the regularised incomplete gamma function in log space.
+
+    The series below the mean, the continued fraction above it.  Both settle within a number of terms that grows with
+    the root of df.
+    """
+    half, shape = F.greatest(x / 2, F.lit(1e-300)), df / 2
+    terms = F.sequence(F.ceil(60 + 12 * F.sqrt(shape)).cast("int"), F.lit(1), F.lit(-1))
+    front = shape * F.log(half) - half
+    series = F.aggregate(terms, F.lit(1.0), lambda acc, k: 1.0 + acc * half / (shape + k))
+    below = 1.0 - F.exp(front - _log_gamma(shape + 1.0)) * series
+    last = half + 2 * F.get(terms, F.lit(0)) + 1 - shape
+    fraction = F.aggregate(terms, last, lambda acc, k: half + 2 * k - 1 - shape + k * (shape - k) / F.when(acc == 0, 1e-300).otherwise(acc))
+    above = F.exp(front - _log_gamma(shape)) / fraction
+    p = F.when(half < shape + 1, below).otherwise(above)
+    return F.when(x <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))

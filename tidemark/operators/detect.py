@@ -117,14 +117,14 @@ def detect_numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[s
 def validate_table(df: DataFrame) -> tuple[str, str]:
     """(date column, metric column) of a table, or an error naming what is missing."""
     if len(df.columns) < 2:
-        raise ValueError("DataFrame must have at least 2 columns (date and metric)")
+        raise ValueError("a date and a metric take at least 2 columns")
     if df.isEmpty():
-        raise ValueError("DataFrame is empty")
+        raise ValueError("the table is empty")
     profile = sorted(column_profile(df, strict_numbers=True).collect(), key=lambda r: r["ordinal"])
     date = next((r["column_name"] for r in profile if r["is_datetime"] or r["date_rate"] > MAJORITY), None)
     if date is None:
-        raise ValueError("No date column found. Ensure one column has parseable dates.")
+        raise ValueError("No date column: in none do most values read as dates")
     metric = next((r["column_name"] for r in profile if r["column_name"] != date and r["number_rate"] > MAJORITY), None)
     if metric is None:
-        raise ValueError("No numeric metric column found. Ensure one column has numeric values.")
+        raise ValueError("No numeric metric: in no other column do most values read as numbers")
     return date, metric

@@ -17,7 +17,7 @@ _TINY = 1e-10
 
 
 def direction(effect: Column) -> Column:
-    return F.when(effect > 0, "increase").otherwise("decrease")
+    return F.when(effect > 0, "increase").when(effect <= 0, "decrease")
 
 
 def is_significant(p_value: Column) -> Column:
@@ -29,9 +29,9 @@ def percent_of_level(effect: Column, level: Column) -> Column:
 
 
 def t_test_p(effect: Column, se: Column, df: Column) -> Column:
-    """Two-sided p of effect / se; 1 when there is no spread to test against."""
+    """Two-sided p of effect / se; 1 when there is no spread to test against, null when there is no effect."""
     safe = F.when(se > 0, se)
-    return F.when(se > 0, t_two_sided_p(effect / safe, df)).otherwise(1.0)
+    return F.when(se > 0, t_two_sided_p(effect / safe, df)).when(effect.isNotNull(), 1.0)
 
 
 def mean_effect(observed: Column, counterfactual: Column, is_post: Column) -> tuple[Column, Column]:

@@ -115,5 +115,6 @@ def causal_effects(
             specs = [(a.analysis_id, a.intervention_ts) for a in chosen]
             parts.append(series_effects(blocked, key, specs, method))
         elif chosen:
-            parts.append(panel_effects(rows, key, ts, y, chosen, method))
+            cut = rows if grain is None else rows.withColumn(ts, F.date_trunc(grain, F.col(ts).cast("timestamp")))
+            parts.append(panel_effects(cut, key, ts, y, chosen, method))
     return reduce(DataFrame.unionByName, parts)

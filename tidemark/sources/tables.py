@@ -21,7 +21,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 def check_input(df: DataFrame) -> DataFrame:
     """The gate every input passes: at least two columns and one row."""
     if len(df.columns) < 2:
-        raise ValueError("File must have at least 2 columns (a date column and a metric column).")
+        raise ValueError("a date and a metric take at least 2 columns")
     if df.isEmpty():
-        raise ValueError("File is empty: no data rows found.")
+        raise ValueError("the input has no data rows")
     return df
