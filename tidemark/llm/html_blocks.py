@@ -319,8 +319,10 @@ def training_pages(pages: list[list[Leaf]], seed: int = 4) -> list[tuple[list[Le
 
 def fit_labeller(pages: DataFrame, sample_pages: int = 300, sample_chars: int = 100_000) -> Labeller | None:
     """Train on a bounded sample of pages that name their parts."""
-    ids = pages.where(F.length("html") <= sample_chars).where("page_id is not null").select("page_id", "html")
-    rows = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).collect()
+    short = pages.select("page_id", "html").where((F.length("html") <= sample_chars) & F.col("page_id").isNotNull())
+    ids = short.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).distinct()
+    rows = short.join(F.broadcast(ids), "page_id").dropDuplicates(["page_id"]).collect()  # at most sample_pages pages leave the scan
+    rows.sort(key=lambda r: r["page_id"])
     vectors = Vectors()
     made = training_pages([leaves(r["html"]) for r in rows])
     if not made:
