@@ -124,7 +124,8 @@ class LicenceModel:
 def _training_rows(docs: DataFrame, sample_paragraphs: int) -> DataFrame:
     """(text, label, part): templates, templates beside paragraphs, paragraphs; a tenth of the parts is held out."""
     spark = docs.sparkSession
-    some = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_paragraphs)
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_paragraphs).distinct()
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most sample_paragraphs ids
     lines = some.select(F.explode(F.split("text", "\n")).alias("text"))
     lines = lines.where(~F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, LICENSING)))).where("text <> ''").distinct()
     lines = lines.orderBy(F.xxhash64("text"), "text").limit(sample_paragraphs).select(F.substring("text", 1, 2_000).alias("text"))
