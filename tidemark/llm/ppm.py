@@ -141,12 +141,12 @@ def log_probabilities(asked: np.ndarray, trie: list[Level]) -> np.ndarray:
 
 
 def _read(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
-    """Parts of a table of a few MB: ids, texts in lower case, which of them are for training."""
+    """Parts of a table of about a MB: ids, texts in lower case, which of them are for training."""
     ids, texts = batch["doc_id"].to_pylist(), batch["text"]
     first = 0
     while first < len(ids):
         part, size, last = [], 0, first
-        while last < len(ids) and size < 2_000_000:
+        while last < len(ids) and size < 1_000_000:
             part.append((texts[last].as_py() or "").encode().lower())
             size += len(part[-1])
             last += 1
@@ -203,7 +203,7 @@ def _facts(docs: DataFrame) -> tuple[np.ndarray, int, int, int]:
     return pairs, found[2], found[1] + (found[2] > 0), found[3]  # the end is a token of its own
 
 
-def scores(docs: DataFrame, order: int = 5, chunk_bytes: int = 48_000_000, bucket_bytes: int = 6_000_000) -> DataFrame:
+def scores(docs: DataFrame, order: int = 5, chunk_bytes: int = 32_000_000, bucket_bytes: int = 6_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pairs, train_tokens, vocabulary, size = _facts(docs)
