@@ -87,11 +87,10 @@ def conversations(messages: DataFrame, branches: int | None = None) -> DataFrame
     while not up.where("above is not null").isEmpty() and 2**rounds <= 2 * total:  # only cycles are left after that
         jumps.append(up.select("tree", "node", "above").where("above is not null"))
         higher = up.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("score").alias("sum"))
-        up = stored(
-            up.join(higher, ["tree", "above"], "left").select(
-                "tree", "node", F.col("next").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("sum", F.lit(0.0))).alias("score"),
-            ), "up",
+        further = up.where("above is not null").join(higher, ["tree", "above"], "left").select(
+            "tree", "node", F.col("next").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("sum", F.lit(0.0))).alias("score"),
         )
+        up = stored(up.where("above is null").unionByName(further), "up")  # messages that have reached their root are not joined again
         rounds += 1
     depths = up.where("above is null").select("tree", "node", "depth", "score")
     parents = messages.where("parent is not null").select("tree", F.col("parent").alias("node"))
