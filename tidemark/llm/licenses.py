@@ -1,7 +1,9 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions and JVM estimators alone.
 
-A paragraph is a line.  Its features are its words and pairs of words; a multinomial logistic regression with an
-absolute penalty knows few of them.  The classes are the licence families and ``unknown``, which is trained on
+A paragraph is a line, or a run of lines up to a blank one, where a line of comment marks alone is blank: notices that
+are wrapped are read over the ends of their lines.  A run counts beside its lines: it is classed by the words and pairs
+that templates hold, and gives a family that none of its lines gives.  Its place is that of its first line.  Features
+are words and pairs of words; a multinomial logistic regression with an absolute penalty knows few of them.  The classes are the licence families and ``unknown``, which is trained on
 paragraphs of the corpus that hold no word of licensing.  A temperature, chosen on held-out rows by log loss,
 calibrates the probabilities.  A predicted family counts when a template of that family confirms it: at least
 ``overlap`` of the template's word pairs are in the paragraph.
@@ -18,6 +20,7 @@ first in order; an empty table gives an empty result; other columns play no part
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -92,10 +95,18 @@ CLASSES = [*sorted(TEMPLATES), UNKNOWN]
 LICENSING = "license licence licensed licenses licensing copyright copyrighted spdx redistribution permission gnu apache mit bsd mozilla cc0".split()
 
 
+#: Lines of white space and marks alone; words that begin a comment line.
+BLANK, COMMENT_WORDS = r"^[\s\p{Punct}]*$", ["dnl", "rem"]
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _unmarked(w: Column) -> Column:
+    return F.when(F.get(w, F.lit(0)).isin(COMMENT_WORDS), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w)
+
+
 def pairs(w: Column) -> Column:
     rest = F.greatest(F.size(w) - 1, F.lit(0))
     return F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -175,22 +186,64 @@ def licence_scan(docs: DataFrame, model: LicenceModel, overlap: float = 0.7) ->
     ``licences`` are the confirmed families; the rest describes the confirmed paragraph of highest probability.
     """
     names = [f"z{k}" for k in range(len(CLASSES))]
+    spark = docs.sparkSession
+    templates = template_table(spark)
+    parts = templates.select(F.explode(F.concat(words(F.col("text")), "needed")).alias("gram")).distinct().withColumn("part", F.lit(True))
+    features = model.features.join(F.broadcast(parts), "gram", "left").withColumn("part", F.coalesce("part", F.lit(False)))
+    templates = templates.groupBy("family").agg(F.collect_list(F.struct("template", "needed")).alias("templates"))
+
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # numbered before lines are made
-    lines = rows.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
-    first = F.when(F.col("paragraph") == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    seen = with_grams(lines, "line").select("doc_id", "row", "paragraph", F.explode(F.concat(first, "grams")).alias("gram"))
-    hits = seen.join(F.broadcast(model.features), "gram")
-    per_line = hits.groupBy("row", "doc_id", "paragraph").agg(F.collect_set("gram").alias("grams"), *((F.sum(F.col("weights")[k]) + model.constants[k]).alias(n) for k, n in enumerate(names)))
-    chances = per_line.withColumn("chances", _probabilities([F.col(n) for n in names], model.temperature)).drop(*names)
-    best = F.array_max("chances")
-    place = F.array_position(F.col("chances"), best)
-    said = chances.select("row", "doc_id", "paragraph", "grams", F.get(F.array(*map(F.lit, CLASSES)), place.cast("int") - 1).alias("family"), best.alias("probability"))
-    templates = template_table(docs.sparkSession).groupBy("family").agg(F.collect_list(F.struct("template", "needed")).alias("templates"))
-    said = said.join(F.broadcast(templates), "family", "left")  # a row for each family
-    share = F.transform("templates", lambda t: F.struct((F.size(F.array_intersect(t["needed"], F.col("grams"))) / F.size(t["needed"])).alias("share"), t["template"].alias("template")))
-    said = said.withColumn("match", F.array_max(F.coalesce(share, F.expr("array(named_struct('share', cast(0 as double), 'template', cast(null as string)))"))))
+    texts = rows.select("doc_id", "row", F.split(F.coalesce("text", F.lit("")), "\n").alias("all"))
+    texts = texts.withColumn("blank", F.transform("all", lambda x: x.rlike(BLANK)))
+    ends = lambda step: F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: ~F.get("blank", i) & F.coalesce(F.get("blank", i + step), F.lit(True)))
+    runs = F.zip_with(ends(-1), ends(1), lambda a, b: F.struct(a.alias("block"), F.slice("all", a + 1, b - a + 1).alias("lines")))
+    none = F.array(F.struct(F.lit(-1).alias("block"), F.array(F.lit("")).alias("lines")))  # every document has this one, so none is lost
+    runs = texts.select("doc_id", "row", F.explode(F.concat(none, runs)).alias("run")).select("doc_id", "row", "run.block", F.transform("run.lines", lambda x: _unmarked(words(x))).alias("tokens"))
+    # a line with the last word of the line before it in its run
+    lines = F.transform("tokens", lambda w, i: F.struct(w.alias("words"), F.when(i > 0, F.try_element_at(F.get("tokens", i - 1), F.lit(-1))).alias("before")))
+    lines = runs.select("doc_id", "row", "block", (F.size("tokens") > 1).alias("wrapped"), F.posexplode(lines).alias("k", "line")).select("doc_id", "row", "block", "wrapped", (F.col("block") + F.col("k")).alias("paragraph"), "line.words", "line.before")
+    across = F.concat("before", F.lit(" "), F.get("words", F.lit(0)))
+    kinds = F.transform(F.array_distinct(F.concat("words", pairs(F.col("words")))), lambda g: F.struct(g.alias("gram"), F.lit(False).alias("across")))
+    kinds = F.concat(kinds, F.when(across.isNotNull(), F.array(F.struct(across.alias("gram"), F.lit(True).alias("across")))).otherwise(F.array().cast("array<struct<gram: string, across: boolean>>")))
+    kinds = F.when(F.col("block") < 0, F.array(F.struct(F.lit("").alias("gram"), F.lit(False).alias("across")))).otherwise(kinds)
+    seen = lines.select("doc_id", "row", "block", "wrapped", "paragraph", F.explode(kinds).alias("g")).select("doc_id", "row", "block", "wrapped", "paragraph", "g.gram", "g.across")
+    hits = seen.join(F.broadcast(features), "gram")
+
+    line = ["row", "doc_id", "block", "wrapped", "paragraph"]
+    own = F.when(~F.col("across"), F.col("gram"))
+    per_line = hits.groupBy(*line).agg(
+        F.collect_set(own).alias("grams"), F.collect_set(F.when(F.col("part"), F.col("gram"))).alias("parts"),
+        *((F.sum(F.when(F.col("across"), 0.0).otherwise(F.col("weights")[k])) + model.constants[k]).alias(n) for k, n in enumerate(names)),
+    )
+
+    def said(logits: DataFrame, *keys: str) -> DataFrame:
+        """The family of highest probability with the template that it matches best."""
+        chances = logits.withColumn("chances", _probabilities([F.col(n) for n in names], model.temperature)).drop(*names)
+        best = F.array_max("chances")
+        place = F.array_position(F.col("chances"), best)
+        out = chances.select(*keys, "grams", F.get(F.array(*map(F.lit, CLASSES)), place.cast("int") - 1).alias("family"), best.alias("probability"))
+        out = out.join(F.broadcast(templates), "family", "left")  # a row for each family
+        share = F.transform("templates", lambda t: F.struct((F.size(F.array_intersect(t["needed"], F.col("grams"))) / F.size(t["needed"])).alias("share"), t["template"].alias("template")))
+        return out.withColumn("match", F.array_max(F.coalesce(share, F.expr("array(named_struct('share', cast(0 as double), 'template', cast(null as string)))")))).drop("grams", "templates")
+
+    by_line = said(per_line, "row", "doc_id", "block", "paragraph", "parts", "wrapped")
     confirmed = F.when(F.col("match.share") >= overlap, F.struct("probability", F.col("match.share").alias("share"), (-F.col("paragraph")).alias("back"), "family", F.col("match.template").alias("template")))
-    per_doc = said.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.when(confirmed.isNotNull(), F.col("family")))).alias("licences"), F.count(confirmed).alias("n_paragraphs"), F.max(confirmed).alias("best"))
+    # runs of several lines: only what templates hold of them is classed, and a family that one of the lines gives is not given again
+    per_run = by_line.groupBy("row", "doc_id", "block").agg(
+        F.max("wrapped").alias("wrapped"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("wrapped"), F.col("parts"))))).alias("grams"), F.collect_list(confirmed).alias("lines"),
+    )
+    needed = [r["needed"] for r in template_table(spark).select("needed").collect()]  # the fixed templates
+    any_template = reduce(lambda a, b: a | b, (F.size(F.array_intersect("grams", F.array(*map(F.lit, n)))) >= overlap * len(n) for n in needed))
+    fits = F.when(F.col("wrapped") & (F.size("grams") > 1), any_template).otherwise(False)
+    per_run = per_run.select("row", "doc_id", "block", F.col("block").alias("paragraph"), "lines", F.when(fits, F.col("grams")).otherwise(F.array().cast("array<string>")).alias("grams"))
+    weighed = F.broadcast(features.where("part").select("gram", "weights"))
+    run = per_run.where("size(grams) > 0").select("row", "doc_id", "block", "paragraph", "lines", "grams", F.explode("grams").alias("gram")).join(weighed, "gram")
+    run = run.groupBy("row", "doc_id", "block", "paragraph").agg(F.first("lines").alias("lines"), F.first("grams").alias("grams"), *((F.sum(F.col("weights")[k]) + model.constants[k]).alias(n) for k, n in enumerate(names)))
+    run = said(run, "row", "doc_id", "block", "paragraph", "lines").withColumn("more", confirmed)
+    more = F.when(F.col("more").isNotNull() & ~F.exists("lines", lambda x: x["family"] == F.col("more.family")), F.array("more")).otherwise(F.array().cast(by_line.select(F.array(confirmed)).schema[0].dataType))
+    both = per_run.where("size(grams) = 0").select("row", "doc_id", "lines").unionAll(run.select("row", "doc_id", F.concat("lines", more)))
+    per_doc = both.groupBy("row", "doc_id").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    per_doc = per_doc.select("doc_id", F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["family"]))).alias("licences"), F.size("lines").cast("long").alias("n_paragraphs"), F.array_max("lines").alias("best"))
     return per_doc.select(
         "doc_id", "licences", "n_paragraphs", F.coalesce("best.family", F.lit(UNKNOWN)).alias("family"), F.col("best.probability").alias("probability"),
         F.col("best.template").alias("template"), F.col("best.share").alias("template_share"), (-F.col("best.back")).alias("paragraph"),
