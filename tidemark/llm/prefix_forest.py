@@ -6,10 +6,12 @@ prefix that any row shares, then all trees ascend together, one bit at a time, u
 The rows in the ranges are the candidates, and their inner products with the query are worked out in double precision
 on the original vectors.
 
-Largest inner product becomes largest cosine by one more dimension: rows are scaled by the largest norm and filled
-up to unit length, queries get a zero there.
+Largest inner product becomes largest cosine by one more dimension: rows are scaled by the largest norm of their block
+and filled up to unit length, queries get a zero there.  Blocks hold rows of like norms, so that little is filled up and
+the bits tell directions.
 
-Rows are dealt to blocks of about ``block_rows`` by a hash of their id, and every block has a forest of its own;
+Rows are dealt to ranges of norms, no wider than a factor of ``NORM_RANGE`` and narrower where rows are many, and within
+a range to blocks of about ``block_rows`` by a hash of their id.  Every block has a forest of its own;
 queries meet the blocks in blocks of about ``query_rows``.  So a task holds one block of each, whatever the size of
 the table, and a query takes the best of the answers of all blocks.  ``candidates`` tells at how many rows
 the trees stop ascending.  The planes come from a seed; nothing is fitted.
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Norms are counted in steps of ``NORM_STEP``; the table of counts has at most some ten thousand rows, whatever the norms.
+NORM_STEP, NORM_RANGE = 1.02, 1.25
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -82,6 +86,25 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("vector") == (size[0]["d"] if size else 0))
 
 
+def norm_ranges(counts: dict[int, int], block_rows: int) -> list[tuple[int, int, int]]:
+    """(level, first block, blocks): the blocks of every level of norms.  Neighbouring levels share a range until it is wide or full."""
+    span, out, first, open_, held = int(np.log(NORM_RANGE) / np.log(NORM_STEP)), [], 0, [], 0
+
+    def close() -> int:
+        blocks = -(-held // block_rows)
+        out.extend((level, first, blocks) for level in open_)
+        return first + blocks
+
+    for level in sorted(counts, reverse=True):
+        if open_ and (open_[0] - level > span or held >= block_rows):
+            first, open_, held = close(), [], 0
+        open_.append(level)
+        held += counts[level]
+    if open_:
+        close()
+    return out
+
+
 def nearest(
     vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, trees: int = 64, bits: int = 24, candidates: float = 0.7,
     block_rows: int = 8_192, query_rows: int = 1_024, seed: int = 11,
@@ -92,20 +115,24 @@ def nearest(
     that is asked for; a row counts once for every tree, so about half as many are distinct.
     """
     rows = usable(vectors)
-    facts = rows.agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.sum(F.expr(f"cast({queries} as int)")).alias("q")).first()
-    blocks, query_blocks = max(1, -(-facts["n"] // block_rows)), max(1, -(-(facts["q"] or 0) // query_rows))
-    scale = facts["norm"] or 1.0
-    dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    index = rows.select("vec_id", "vector", dealt(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    level = F.round(F.log("norm") / float(np.log(NORM_STEP))).cast("int")
+    facts = rows.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.expr(f"cast({queries} as int)")).alias("q")).collect()
+    ranges = norm_ranges({r["level"]: r["n"] for r in facts}, block_rows)
+    blocks, query_blocks = max([1, *(first + n for _, first, n in ranges)]), max(1, -(-sum(r["q"] or 0 for r in facts) // query_rows))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+    of_level = F.broadcast(rows.sparkSession.createDataFrame(ranges, "level int, first_block int, blocks int"))
+    index = rows.withColumn("level", level).join(of_level, "level").withColumn("block", F.col("first_block") + dealt(F.col("blocks"), 1))
+    index = index.select(F.col("vec_id").alias("vec_id"), F.col("vector").alias("vector"), "block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     asked = rows.where(queries).dropDuplicates(["vec_id"])
-    asked = asked.select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), dealt(query_blocks, 2).alias("query_block"))
+    asked = asked.select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), dealt(F.lit(query_blocks), 2).alias("query_block"))
 
     def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, q = np.stack(mine["vector"].to_numpy()), np.stack(theirs["vector"].to_numpy())
         ids, query_ids = mine["vec_id"].to_numpy(), theirs["vec_id"].to_numpy()
-        scaled = x / scale
+        norms = np.linalg.norm(x, axis=1)
+        scaled = x / norms.max()
         filled = np.column_stack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))])
         turned = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))])
         forest = Forest(filled, _planes(trees, bits, filled.shape[1], seed))
