@@ -74,6 +74,11 @@ def sample_lags(m: int, seasonal_period: int) -> int:
     return m + max(3, seasonal_period) + 1 + seasonal_period
 
 
+def grid_lags(n: int, period: int) -> int:
+    """Lags that the grid of a period takes on a series of ``n`` rows."""
+    return sample_lags(long_ar_order(n - 1 - 2 * period), period)
+
+
 def level_moments(mom: Moments, lags: int) -> np.ndarray | None:
     """Cross-products of (1, x_t, ..., x_(t-lags)) over t >= lags, from lag products and the two ends."""
     rows = mom.n - lags
@@ -136,11 +141,12 @@ class Grid:
     of the long-autoregression errors) get one cross-product matrix; a candidate is a slice of it.
     """
 
-    def __init__(self, mom: Moments, period: int):
+    def __init__(self, mom: Moments, period: int, lags: int = 0):
+        """``lags``: rows left out at the start, if more than this grid needs, so that grids can share a sample."""
         self.mom = mom
         self.period = period
         self.m = long_ar_order(mom.n - 1 - 2 * period)
-        self.lags = sample_lags(self.m, period)
+        self.lags = max(lags, sample_lags(self.m, period))
         self.g = level_moments(mom, self.lags)
         self._bases: dict = {}
 

@@ -19,16 +19,16 @@ from pyspark.sql import types as T
 from tidemark.functions import hannan_rissanen as hr
 from tidemark.functions.stats import Z_975
 from tidemark.operators.inference import effect_summary, ljung_box
-from tidemark.operators.series import blocks, own_rows, per_block, with_lags
+from tidemark.operators.series import OVERLAP, blocks, own_rows, per_block, with_lags
 from tidemark.session import checkpointed
 
-# The search grid, its tiers by length, the default order, the seasonal period by length.
+# The search grid, the default order, the seasonal periods tried, and the reference's tiers by length.
 MAX_P, MAX_D, MAX_Q = 3, 1, 3
 LONG_SERIES, LONG_PRE = 5000, 1000
 DEFAULT_ORDER = (1, 1, 1)
 SEASONAL_BASE = (1, 1, 1)
 SEASONAL_PERIODS = ((10000, 0), (3000, 7), (200, 12), (50, 4))
-MAX_PERIOD = 12
+PERIODS, MAX_PERIOD = (4, 7, 12), 12
 
 LAGS = hr.sample_lags(hr.MAX_LONG_AR, 0)
 SEASONAL_LAGS = hr.sample_lags(hr.MAX_LONG_AR, MAX_PERIOD)
@@ -49,11 +49,12 @@ _FORECAST = T.ArrayType(_struct(mean=_DOUBLE, se=_DOUBLE))
 
 
 def max_order(n: Column, n_pre: Column) -> Column:
-    """Largest p and q searched: 2 for long series, 1 for a long pre period, else 3."""
+    """Largest p and q that the reference searches: 2 for long series, 1 for a long pre period, else 3."""
     return F.when(n > LONG_SERIES, 2).when(n_pre > LONG_PRE, 1).otherwise(MAX_P)
 
 
 def seasonal_period(n: Column) -> Column:
+    """The reference's period by length."""
     longest, *shorter = SEASONAL_PERIODS
     period = F.when(n > longest[0], longest[1])
     for bound, s in shorter:
@@ -62,7 +63,7 @@ def seasonal_period(n: Column) -> Column:
 
 
 def candidate_orders(located: DataFrame) -> DataFrame:
-    """One row per analysis and candidate (p, d, q)."""
+    """One row per analysis and candidate (p, d, q) in the reference's tiers; ``ArimaPlan`` searches them if told to."""
     grid = [
         F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q"))
         for p in range(MAX_P + 1) for d in range(MAX_D + 1) for q in range(MAX_Q + 1) if p + q > 0
@@ -162,17 +163,21 @@ def _fit_candidates(
 
 @F.pandas_udf(_SEASONAL_CANDIDATES)
 def _fit_seasonal_candidates(
-    n_pre: pd.Series, products: pd.Series, total: pd.Series, head: pd.Series, tail: pd.Series, period: pd.Series
+    n_pre: pd.Series, products: pd.Series, total: pd.Series, head: pd.Series, tail: pd.Series, periods: pd.Series
 ) -> pd.Series:
     out = []
-    for row in _frame(n_pre, products, total, head, tail, period, names=[*_MOMENT_COLUMNS, "period"]):
+    for row in _frame(n_pre, products, total, head, tail, periods, names=[*_MOMENT_COLUMNS, "periods"]):
+        mom, tried = _read(row), [int(s) for s in row.periods]
+        if len(tried) > 1:  # periods that half of the rows can tell, on one sample
+            tried = [s for s in tried if mom.n >= 2 * hr.grid_lags(mom.n, s)]
+        lags = max((hr.grid_lags(mom.n, s) for s in tried), default=0)
         found = []
-        if row.period > 0:
-            grid = hr.Grid(_read(row), int(row.period))
+        for s in tried:
+            grid = hr.Grid(mom, s, lags)
             for P, D, Q in ((0, 0, 1), (0, 1, 1), (1, 0, 0), (1, 1, 0), (1, 0, 1), (1, 1, 1)):
-                aic = grid.aic(hr.Spec(*SEASONAL_BASE, P, D, Q, int(row.period)))
+                aic = grid.aic(hr.Spec(*SEASONAL_BASE, P, D, Q, s))
                 if aic is not None:
-                    found.append({"aic": aic, "P": P, "D": D, "Q": Q, "s": int(row.period)})
+                    found.append({"aic": aic, "P": P, "D": D, "Q": Q, "s": s})
         out.append(found)
     return pd.Series(out)
 
@@ -241,13 +246,22 @@ class ArimaPlan:
 
     ``located`` holds one row per analysis: analysis_id, keys, idx, n, n_pre, n_post, pivot, status and,
     optionally, ``order`` (array<int>) to bypass the search.  Only rows with status ``ok`` are fitted.
+
+    The whole grid is searched at any length, and the seasonal period is ``period`` or, of ``PERIODS``, the one of
+    lowest AIC.  ``tiers`` limits orders and periods by length as the reference does, for comparison with it.
     """
 
-    def __init__(self, blocked: DataFrame, located: DataFrame, keys: Sequence[str], seasonal: bool = False):
+    def __init__(
+        self, blocked: DataFrame, located: DataFrame, keys: Sequence[str], seasonal: bool = False,
+        period: int | None = None, tiers: bool = False,
+    ):
         self.keys = list(keys)
         self.by = ["analysis_id", *self.keys]
         self.seasonal = seasonal
-        self.depth = SEASONAL_LAGS if seasonal else LAGS
+        self.period, self.tiers = period, tiers
+        self.depth = hr.sample_lags(hr.MAX_LONG_AR, max(MAX_PERIOD, period or 0)) if seasonal else LAGS
+        if period is not None and (period < 2 or self.depth > OVERLAP):
+            raise ValueError(f"a period of {period} needs lags beyond the {OVERLAP} rows that blocks share")
         self.rows = own_rows(blocked)
         self.lagged = with_lags(blocked, self.keys, self.depth)
         if "order" not in located.columns:
@@ -257,7 +271,7 @@ class ArimaPlan:
     def candidates(self) -> DataFrame:
         """Moments of each analysis with its candidate fits (``candidates``: aic and order)."""
         moments = _moments(self.located, self.lagged, self.keys, self.depth)
-        grid = _fit_candidates(*_MOMENT_COLUMNS, max_order(F.col("n"), F.col("n_pre")))
+        grid = _fit_candidates(*_MOMENT_COLUMNS, max_order(F.col("n"), F.col("n_pre")) if self.tiers else F.lit(MAX_P))
         return moments.withColumn("candidates", grid)
 
     def models(self) -> DataFrame:
@@ -267,20 +281,21 @@ class ArimaPlan:
             F.coalesce("order", best_order(F.col("candidates")), F.array(*[F.lit(v) for v in DEFAULT_ORDER])),
         )
         if self.seasonal:
-            period = seasonal_period(F.col("n"))
-            found = _fit_seasonal_candidates(*_MOMENT_COLUMNS, period)
-            fallback = F.array(F.lit(0), F.lit(1), F.lit(1), F.col("period"))
+            length = seasonal_period(F.col("n")) if self.tiers else F.lit(self.period or 0)
+            periods = F.when(length > 0, F.array(length))
+            if not self.tiers:
+                periods = F.coalesce(periods, F.array(*map(F.lit, PERIODS)))
+            periods = F.coalesce(periods, F.array().cast("array<int>"))
+            fallback = F.when(length > 0, F.array(F.lit(0), F.lit(1), F.lit(1), length))
             best = F.array_min("seasonal_candidates")
+            known = best.isNotNull() & ((F.col("n_pre") <= LONG_SERIES) if self.tiers else F.lit(True))
             chosen = (
-                chosen.withColumn("period", period)
-                .withColumn("seasonal_candidates", found)
+                chosen.withColumn("seasonal_candidates", _fit_seasonal_candidates(*_MOMENT_COLUMNS, periods))
                 .withColumn(
                     "seasonal_order",
-                    F.when(F.col("period") == 0, None)
-                    .when((F.col("n_pre") > LONG_SERIES) | best.isNull(), fallback)
-                    .otherwise(F.array(best["P"], best["D"], best["Q"], best["s"])),
+                    F.when(known, F.array(best["P"], best["D"], best["Q"], best["s"])).otherwise(fallback),
                 )
-                .drop("period", "seasonal_candidates")
+                .drop("seasonal_candidates")
             )
         else:
             chosen = chosen.withColumn("seasonal_order", F.lit(None).cast("array<int>"))
