@@ -319,8 +319,9 @@ def training_pages(pages: list[list[Leaf]], seed: int = 4) -> list[tuple[list[Le
 
 def fit_labeller(pages: DataFrame, sample_pages: int = 300, sample_chars: int = 100_000) -> Labeller | None:
     """Train on a bounded sample of pages that name their parts."""
-    short = pages.select("page_id", "html").where((F.length("html") <= sample_chars) & F.col("page_id").isNotNull())
-    ids = short.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).distinct()
+    names = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
+    short = pages.select("page_id", "html").where((F.length("html") <= sample_chars) & F.col("page_id").isNotNull() & names)
+    ids = short.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
     rows = short.join(F.broadcast(ids), "page_id").dropDuplicates(["page_id"]).collect()  # at most sample_pages pages leave the scan
     rows.sort(key=lambda r: r["page_id"])
     vectors = Vectors()
