@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import anomaly_rules, chat, html_blocks, licenses, mixing, packing, ppm, prefix_forest, simhash, weak_quality
+from tidemark.llm import anomaly_rules, chat, content_sort, html_blocks, licenses, mixing, packing, ppm, prefix_forest, simhash, weak_quality
 from tidemark.llm.common import per_batch, table
 
 
@@ -89,6 +89,10 @@ def op10_anomaly_rules(spark: SparkSession, folder: str) -> DataFrame:
     return anomaly_rules.rule_verdicts(docs, anomaly_rules.fit_rules(docs, table(spark, folder, "labels")))
 
 
+def op11_content_sort(spark: SparkSession, folder: str) -> DataFrame:
+    return content_sort.content_groups(table(spark, folder, "documents"), keep="largest").drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_forest": op1_prefix_forest,
     "op2_packing": op2_packing,
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_weak_labels": op9_weak_labels,
     "op10_anomaly_rules": op10_anomaly_rules,
+    "op11_content_sort": op11_content_sort,
 }
 
 #: The same answers in SQL, where SQL can say them.
@@ -147,4 +152,11 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 10 + 1)::BIGINT AS formatted_chars
 FROM rows_ GROUP BY conv_id""",
+    "op11_content_sort": """
+WITH docs AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
+FROM docs""",
 }
