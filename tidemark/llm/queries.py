@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import anomaly_rules, chat, content_sort, html_blocks, licenses, mixing, packing, ppm, prefix_forest, simhash, weak_quality
+from tidemark.llm import anomaly_rules, chat, content_sort, html_blocks, licenses, mixing, packing, ppm, prefix_forest, prefix_trie, simhash, weak_quality
 from tidemark.llm.common import per_batch, table
 
 
@@ -93,6 +93,11 @@ def op11_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.content_groups(table(spark, folder, "documents"), keep="largest").drop("row")
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, conversations = prefix_trie.rebuilt(prefix_trie.ranked_turns(table(spark, folder, "conversations")))
+    return prefix_trie.nodes(turns, conversations).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_forest": op1_prefix_forest,
     "op2_packing": op2_packing,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_labels": op9_weak_labels,
     "op10_anomaly_rules": op10_anomaly_rules,
     "op11_content_sort": op11_content_sort,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: The same answers in SQL, where SQL can say them.
@@ -159,4 +165,35 @@ WITH docs AS (
 SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
        row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
 FROM docs""",
+    "op13_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id AS conv, turn, sha256(length(role) || ':' || role || text) AS name, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), lists AS (
+  SELECT conv, list(name ORDER BY turn NULLS FIRST, name) AS names, list(words ORDER BY turn NULLS FIRST, name) AS words FROM turns GROUP BY conv
+), bits AS (
+  SELECT *, flatten(list_transform(string_split(conv::VARCHAR, ''), lambda c: list_transform(range(8), lambda j: (ascii(c) >> j) & 1))) AS bits FROM lists
+), seeded AS (
+  SELECT *, conv - conv % 20 AS base,
+         xor(list_reduce(bits, lambda crc, bit: xor(crc >> 1, CASE WHEN xor(crc, bit) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295), 4294967295) % 4 AS h
+  FROM bits
+), whole AS (
+  SELECT s.conv, coalesce(b.names[1:s.h], []) || s.names[s.h + 1:] AS names, coalesce(b.words[1:s.h], []) || s.words[s.h + 1:] AS words
+  FROM seeded s LEFT JOIN lists b ON b.conv = s.base
+), prefixes AS (
+  SELECT conv, depth, sha256(array_to_string(names[1:depth], ',')) AS node, depth = len(names) AS ended, coalesce(words[depth], 0) AS words
+  FROM (SELECT *, unnest(range(len(names) + 1)) AS depth FROM whole)
+), nodes AS (
+  SELECT node, max(depth) AS depth, min(conv) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (ended), '')) AS ends_sha256
+  FROM prefixes GROUP BY node
+), linked AS (
+  SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN prefixes p ON p.conv = n.conv_id AND p.depth = n.depth - 1
+), families AS (SELECT parent, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent
+), totals AS (
+  SELECT a.node, count(*) FILTER (f.parent IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens
+  FROM nodes n LEFT JOIN families f ON f.parent = n.node JOIN prefixes a ON a.conv = n.conv_id AND a.depth <= n.depth GROUP BY a.node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM linked n JOIN totals t ON t.node = n.node LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN families f ON f.parent = n.node""",
 }
