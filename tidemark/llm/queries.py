@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import anomaly_rules, chat, content_sort, html_blocks, licenses, mixing, packing, ppm, prefix_forest, prefix_trie, simhash, weak_quality
+from tidemark.llm import anomaly_rules, chat, content_sort, html_blocks, licenses, mixing, packing, ppm, prefix_forest, prefix_trie, simhash, weak_quality, whitening
 from tidemark.llm.common import per_batch, table
 
 
@@ -93,6 +93,10 @@ def op11_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.content_groups(table(spark, folder, "documents"), keep="largest").drop("row")
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns, conversations = prefix_trie.rebuilt(prefix_trie.ranked_turns(table(spark, folder, "conversations")))
     return prefix_trie.nodes(turns, conversations).drop("node")
@@ -110,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_labels": op9_weak_labels,
     "op10_anomaly_rules": op10_anomaly_rules,
     "op11_content_sort": op11_content_sort,
+    "op12_whitening": op12_whitening,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
