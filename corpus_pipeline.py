@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import anomaly_rules, mixing, overlap, weak_quality
+from tidemark.llm import anomaly_rules, mixing, simhash, weak_quality
 from tidemark.llm.common import stored, table
 from tidemark.llm.queries import pieces
 
@@ -22,8 +22,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return overlap.one_of_each(docs)
+    """One document of every group of near-duplicates: fingerprints of three-word shingles at three bits or fewer."""
+    return simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
