@@ -282,17 +282,16 @@ def forecast(model: Fit, tail: np.ndarray, start: int, steps: int) -> tuple[np.n
         impulse[r] = 1.0
     step = transition(model.ar, model.ma, model.const)
     gathered = 0.0
-    both = np.column_stack([state, impulse])
     if start:
         power, spread = leap(step, impulse, start)
-        both = power @ both
-        gathered = spread[0, 0]
-    mean, variance = np.empty(steps), np.empty(steps)
-    for h in range(steps):
-        gathered += both[0, 1] ** 2
-        both = step @ both
-        mean[h], variance[h] = both[0, 0], gathered
-    return mean, np.sqrt(model.sigma2 * variance)
+        state, impulse, gathered = power @ state, power @ impulse, spread[0, 0]
+    # rows e0, e0 A, e0 A^2, ...: a stack of 2^k of them times A^(2^k) is the next 2^k
+    rows, power = np.eye(1, state.size), step
+    while len(rows) <= steps:
+        rows = np.vstack([rows, rows @ power])
+        power = power @ power
+    variance = gathered + np.cumsum((rows[:steps] @ impulse) ** 2)
+    return rows[1 : steps + 1] @ state, np.sqrt(model.sigma2 * variance)
 
 
 def forecast_total(model: Fit, tail: np.ndarray, steps: int) -> float:

@@ -4,14 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.arima import ArimaPlan
 
 # Number of placebo dates, seed, and the margin kept free at both ends of a series.
 N_PLACEBOS, SEED, MARGIN = 50, 42, 10
-_ENUMERATE = 4096
+_ROUNDS = 4
+
+
+def shuffled_position(i: Column, width: Column, key: Column) -> Column:
+    """Where a permutation of 0 .. width-1, fixed by the text ``key``, puts position ``i``.
+
+    Four Feistel rounds over a rows x columns rectangle of at least ``width`` cells, whose halves are shifted by digests
+    of each other.  A result outside the range is sent through again until it is inside; the rectangle has fewer spare
+    cells than columns, so that is rare, and as many tries as there are spare cells are always enough.
+    """
+    rows = F.ceil(F.sqrt(width)).cast("long")
+    columns = F.ceil(width / rows).cast("long")
+
+    def shift(number: Column, half: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("|", key, number, half)), 1, 12), 16, 10).cast("long")
+
+    def once(x: Column) -> Column:
+        def turn(halves: Column, number: Column) -> Column:
+            a, b = halves["a"], halves["b"]
+            odd = number % 2 == 1
+            return F.struct(
+                F.when(odd, F.pmod(a + shift(number, b), rows)).otherwise(a).alias("a"),
+                F.when(odd, b).otherwise(F.pmod(b + shift(number, a), columns)).alias("b"),
+            )
+
+        start = F.struct(F.floor(x / columns).alias("a"), F.pmod(x, columns).alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, turn, lambda h: h["a"] * columns + h["b"])
+
+    tries = F.sequence(F.lit(0).cast("long"), rows * columns - width)
+    first = once(i)
+    return F.aggregate(tries, first, lambda x, _: F.when(x < width, x).otherwise(once(x)))
 
 
 def placebo_indices(
@@ -19,27 +49,20 @@ def placebo_indices(
 ) -> DataFrame:
     """(analysis_id, keys, ..., placebo_idx): distinct indices clear of both ends, fixed by the seed.
 
-    ``n_placebos=None`` takes every index in range.  Drawn row by row, with no shuffle: a short range
-    is ordered by hash, from a long one hashed positions are taken.
+    ``n_placebos=None`` takes every index in range, a number the first so many of a permutation of the range whose
+    key is seed and series.  Drawn row by row, with no shuffle, at the same cost for any width.
     """
     n = F.col("n")
     fifth = F.floor(n / 5)
     lo = F.greatest(F.lit(MARGIN), fifth)
     hi = F.least(n - MARGIN, n - fifth)  # exclusive
     ranged = located.withColumn("lo", lo).withColumn("width", hi - F.col("lo")).where("width > 0")
-    every = F.sequence(F.col("lo"), F.col("lo") + F.col("width") - 1)
     if n_placebos is None:
-        drawn = every
+        drawn = F.sequence(F.col("lo"), F.col("lo") + F.col("width") - 1)
     else:
-        def key(i):
-            return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], i)
-
-        shuffled = F.transform(F.array_sort(F.transform(every, lambda i: F.struct(key(i).alias("h"), i.alias("i")))),
-                               lambda s: s["i"])
-        scattered = F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.lit(8 * n_placebos)), lambda i: F.col("lo") + F.pmod(key(i), F.col("width"))
-        ))
-        drawn = F.array_sort(F.slice(F.when(F.col("width") <= _ENUMERATE, shuffled).otherwise(scattered), 1, n_placebos))
+        key = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+        wanted = F.sequence(F.lit(0).cast("long"), F.least(F.lit(n_placebos), F.col("width")) - 1)
+        drawn = F.array_sort(F.transform(wanted, lambda i: F.col("lo") + shuffled_position(i, F.col("width"), key)))
     return ranged.withColumn("placebo_idx", F.explode(drawn)).drop("lo", "width")
 
 

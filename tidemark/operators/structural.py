@@ -2,7 +2,8 @@
 
 The ratio q = var(shock) / var(noise) is chosen by likelihood over a fixed grid.  The filter runs inside
 bounded blocks as a fold.  Its output is affine in the level that enters the block, and the filter
-variance at a block start has a closed form, so blocks are folded independently and then linked.
+variance at a block start has a closed form, so blocks are folded independently; an associative scan
+of their affine maps links them, for any ratio from 0 on.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ RATIOS = tuple(10.0 ** (k / 2) for k in range(-8, 5))
 def _variance_entering(q: Column, steps: Column) -> Column:
     """Filter variance after ``steps`` updates from 1, relative to the noise.
 
-    P -> (P + q) / (P + q + 1) is a Moebius map; between its fixed points it only scales.
+    P -> (P + q) / (P + q + 1) is a Moebius map; between its fixed points it only scales.  The logarithm of the scale is
+    kept, as the scale itself is too close to 1 for small ratios.  Without shocks the variance falls as 1 / (1 + steps).
     """
     root = F.sqrt(q * q + 4 * q)
-    stable, other = (root - q) / 2, (-root - q) / 2
-    shrink = F.pow(stable + q + 1, F.lit(-2.0))
-    ratio = (1 - stable) / (1 - other) * F.pow(shrink, steps)
-    return (stable - other * ratio) / (1 - ratio)
+    stable, other = 2 * q / (root + q), -(root + q) / 2
+    scale = F.coalesce(F.log1p(-stable), F.lit(float("-inf"))) - F.log1p(-other) - 2 * steps * F.log1p(stable + q)
+    return F.when(q > 0, other - root / F.expm1(scale)).otherwise(1 / (1 + steps))
 
 
 def _fold(values: Column, q: Column, first: Column) -> Column:
@@ -64,17 +65,35 @@ def _fold(values: Column, q: Column, first: Column) -> Column:
     return F.aggregate(rest, start, update)
 
 
+def gains(ratio: float, entering: float, steps: int) -> np.ndarray:
+    """Gain of every step when the variance that enters is ``entering`` (relative to the noise)."""
+    k = np.arange(1, steps + 1)
+    if ratio == 0:
+        return 1 / (1 / entering + k)
+    root = np.sqrt(ratio * ratio + 4 * ratio)
+    stable, other = 2 * ratio / (root + ratio), -(root + ratio) / 2
+    fall = 2 * k * np.log1p(stable + ratio)
+    if entering > stable:
+        return other - root / np.expm1(np.log1p(-root / (entering - other)) - fall)
+    return other + root / (1 + (stable - entering) / (entering - other) * np.exp(-fall))
+
+
+def one_step(values: np.ndarray, ratio: float, level: float, entering: float) -> np.ndarray:
+    """Predictions one step ahead.  Every step is an affine map of the level; their compositions from the start are
+    found by doubling, so a block of n values takes log2(n) vector operations."""
+    gain = gains(ratio, entering, len(values))
+    keep, add, reach = 1 - gain, gain * values, 1
+    while reach < len(values):
+        add[reach:] = add[reach:] + keep[reach:] * add[:-reach]
+        keep[reach:] = keep[reach:] * keep[:-reach]
+        reach *= 2
+    after = keep * level + add
+    return np.concatenate([[level], after[:-1]])
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _one_step(values: pd.Series, q: pd.Series, level: pd.Series, variance: pd.Series) -> pd.Series:
-    out = []
-    for block, ratio, start, spread in zip(values, q, level, variance, strict=True):
-        fitted = np.empty(len(block))
-        for i, y in enumerate(block):
-            fitted[i] = start
-            gain = (spread + ratio) / (spread + ratio + 1.0)
-            start, spread = start + gain * (y - start), gain
-        out.append(fitted)
-    return pd.Series(out)
+    return pd.Series([one_step(np.asarray(v, float), *rest) for v, *rest in zip(values, q, level, variance, strict=True)])
 
 
 class LocalLevelPlan:
@@ -102,22 +121,24 @@ class LocalLevelPlan:
         )
 
     def _filtered(self) -> DataFrame:
-        """Per block and ratio: the fold, and the level that enters the block."""
-        grid = F.explode(F.array(*[F.lit(float(q)) for q in self.ratios]))
-        folded = (
-            self._pre_blocks()
-            .withColumn("q", grid)
-            .withColumn("f", _fold(F.col("values"), F.col("q"), F.col("block") == 0))
-            .select(*self.by, "n_pre", "block", "q", "f.*")
-        )
-        order = Window.partitionBy(*self.by, "q").orderBy("block")
-
-        def back(name: str, k: int) -> Column:
-            return F.coalesce(F.lag(name, k).over(order), F.lit(0.0))
+        """Per block and ratio: the fold, and the level that enters the block.
 
-        # A full block forgets what entered it to double precision; two blocks back is already exact.
-        entering = back("u", 1) + back("v", 1) * (back("u", 2) + back("v", 2) * back("u", 3))
-        return folded.withColumn("entering", entering)
+        A block is an affine map of the level.  The maps are composed from the first block on by doubling: after k rounds
+        each row holds the composition of its last 2^k blocks, so rounds grow with the logarithm of the blocks.
+        """
+        ratios = F.array(*[F.lit(float(q)) for q in self.ratios])
+        first = F.col("block") == 0
+        folds = F.transform(ratios, lambda q: F.struct(q.alias("q"), _fold(F.col("values"), q, first).alias("f")))
+        folded = self._pre_blocks().select(*self.by, "n_pre", "block", F.explode(folds).alias("at"))
+        folded = folded.select(*self.by, "n_pre", "block", "at.q", "at.f.*")
+        order = Window.partitionBy(*self.by, "q").orderBy("block")
+        longest = self.located.agg(F.max("n_pre")).first()[0] or 0
+        folded, reach = folded.withColumns({"keep": F.col("v"), "add": F.col("u")}), 1
+        while reach * BLOCK_ROWS < longest:
+            keep, add = F.lag("keep", reach, 1.0).over(order), F.lag("add", reach, 0.0).over(order)
+            folded = folded.withColumns({"keep": F.col("keep") * keep, "add": F.col("add") + F.col("keep") * add})
+            reach *= 2
+        return folded.withColumn("entering", F.lag("add", 1, 0.0).over(order)).drop("keep", "add")
 
     def models(self) -> DataFrame:
         """(by, q, level, P, sigma2, loglik): the ratio with the highest likelihood per analysis."""

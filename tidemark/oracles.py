@@ -426,6 +426,20 @@ ORACLES: dict[str, str] = {
         round(effect + 1.96 * effect_se + 1e-8, 4) AS effect_ci_upper, round({t_p('effect / effect_se', '(n_post - 1)')} + 1e-8, 4) AS p_value,
         {t_p('effect / effect_se', '(n_post - 1)')} < 0.05 AS significant, CASE WHEN effect > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM scored""",
     "placebo_indices": f"""WITH {LOCATED} SELECT 'mid' AS analysis_id, event_type, unnest(range(greatest(10, n // 5), least(n - 10, n - n // 5))) AS placebo_idx FROM located""",
+    "placebo_draw": f"""WITH RECURSIVE {SERIES}, sized AS (
+          SELECT 'mid' AS analysis_id, event_type AS series_key, count(*) AS n FROM series GROUP BY 2
+          UNION ALL SELECT 'orders', o_orderpriority, count(DISTINCT o_orderdate) FROM orders GROUP BY 2),
+        ranged AS (SELECT *, greatest(10, n // 5) AS lo, least(n - 10, n - n // 5) - greatest(10, n // 5) AS width FROM sized),
+        sides AS (SELECT *, ceil(width / ceil(sqrt(width)))::BIGINT AS across, ceil(sqrt(width))::BIGINT AS down FROM ranged WHERE width > 0),
+        walk(analysis_id, series_key, lo, width, across, down, i, k, a, b) AS (
+          SELECT analysis_id, series_key, lo, width, across, down, i, 0, i // across, i % across
+          FROM (SELECT *, unnest(range(least(50, width))) AS i FROM sides)
+          UNION ALL
+          SELECT analysis_id, series_key, lo, width, across, down, i, k + 1,
+            CASE WHEN k % 4 IN (0, 2) THEN (a + ('0x' || substr(md5('42|' || series_key || '|' || (k % 4 + 1) || '|' || b), 1, 12))::BIGINT) % down ELSE a END,
+            CASE WHEN k % 4 IN (0, 2) THEN b ELSE (b + ('0x' || substr(md5('42|' || series_key || '|' || (k % 4 + 1) || '|' || a), 1, 12))::BIGINT) % across END
+          FROM walk WHERE k = 0 OR k % 4 <> 0 OR a * across + b >= width)
+        SELECT analysis_id, series_key, lo + a * across + b AS placebo_idx FROM walk WHERE k > 0 AND k % 4 = 0 AND a * across + b < width""",
     "placebo_effects_ar1": f"WITH {PLACEBO} SELECT 'mid' AS analysis_id, event_type, idx, is_real, round(effect + 1e-8, 4) AS effect FROM placebo",
     "placebo_summary": f"""WITH {PLACEBO}, actual AS (SELECT event_type, effect AS real_effect FROM placebo WHERE is_real),
         counted AS (SELECT event_type, any_value(real_effect) AS real_effect, count(*) AS n_placebos, count(*) FILTER (abs(effect) >= abs(real_effect)) AS n_extreme,

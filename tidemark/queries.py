@@ -556,6 +556,14 @@ def placebo_indices(spark, d):
     return placebo.placebo_indices(located(h), KEY, None).select(*BY, "placebo_idx")
 
 
+@query
+def placebo_draw(spark, d):
+    """Fifty dates of every hourly series and of every daily one, whose ranges are much wider."""
+    daily = series.locate_interventions(daily_orders(spark, d), ["o_orderpriority"], [("orders", ORDERS_AT)])
+    both = located(hourly(spark, d)).withColumnRenamed("event_type", "series_key").unionByName(daily.withColumnRenamed("o_orderpriority", "series_key"))
+    return placebo.placebo_indices(both, ["series_key"]).select("analysis_id", "series_key", "placebo_idx")
+
+
 def ar1_placebos(spark, d):
     blocked, found = prepared_hourly(spark, d)
     return placebo.placebo_effects(blocked, found.withColumn("order", fixed_order(1, 0, 0)), KEY, None)
