@@ -14,8 +14,8 @@ from typing import NamedTuple
 
 import numpy as np
 
-MAX_LONG_AR = 24
-UNIT_ROOT = 0.999
+MAX_LONG_AR = 24  # lags of the first stage, unless the caller allows more
+UNIT_ROOT, YEAR = 0.999, 12  # margin of a root for up to a year of months; a longer season has it over twelfths of its length
 _REL_ZERO = 1e-13
 _COLLINEAR = 1e-6
 _ROWS_PER_COEFFICIENT = 3
@@ -65,8 +65,8 @@ def difference_polynomial(d: int, D: int, s: int) -> np.ndarray:
     return poly
 
 
-def long_ar_order(n: int) -> int:
-    return int(max(0, min(max(6, round(10 * np.log10(max(n, 1)))), n // 4, MAX_LONG_AR)))
+def long_ar_order(n: int, longest: int = MAX_LONG_AR) -> int:
+    return int(max(0, min(max(6, round(10 * np.log10(max(n, 1)))), n // 4, longest)))
 
 
 def sample_lags(m: int, seasonal_period: int) -> int:
@@ -74,9 +74,9 @@ def sample_lags(m: int, seasonal_period: int) -> int:
     return m + max(3, seasonal_period) + 1 + seasonal_period
 
 
-def grid_lags(n: int, period: int) -> int:
+def grid_lags(n: int, period: int, longest: int = MAX_LONG_AR) -> int:
     """Lags that the grid of a period takes on a series of ``n`` rows."""
-    return sample_lags(long_ar_order(n - 1 - 2 * period), period)
+    return sample_lags(long_ar_order(n - 1 - 2 * period, longest), period)
 
 
 def level_moments(mom: Moments, lags: int) -> np.ndarray | None:
@@ -125,7 +125,8 @@ def _solve(gram: np.ndarray, target: int, regressors: list[int]) -> tuple[np.nda
 
 def _stable(coefficients: np.ndarray) -> bool:
     """Roots of 1 - c1 B - c2 B^2 - ... lie safely outside the unit circle (step-down recursion)."""
-    c = np.asarray(coefficients, float) / UNIT_ROOT ** np.arange(1, len(coefficients) + 1)
+    lags = np.arange(1, len(coefficients) + 1)
+    c = np.asarray(coefficients, float) / UNIT_ROOT ** (lags * min(1.0, YEAR / max(lags.size, 1)))
     while c.size:
         last = c[-1]
         if abs(last) >= 1.0:
@@ -141,11 +142,11 @@ class Grid:
     of the long-autoregression errors) get one cross-product matrix; a candidate is a slice of it.
     """
 
-    def __init__(self, mom: Moments, period: int, lags: int = 0):
+    def __init__(self, mom: Moments, period: int, lags: int = 0, longest: int = MAX_LONG_AR):
         """``lags``: rows left out at the start, if more than this grid needs, so that grids can share a sample."""
         self.mom = mom
         self.period = period
-        self.m = long_ar_order(mom.n - 1 - 2 * period)
+        self.m = long_ar_order(mom.n - 1 - 2 * period, longest)
         self.lags = max(lags, sample_lags(self.m, period))
         self.g = level_moments(mom, self.lags)
         self._bases: dict = {}

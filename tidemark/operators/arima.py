@@ -1,9 +1,10 @@
 """Interrupted time series: ARIMA and seasonal counterfactuals for many series at once.
 
-Plan.  One pass over the block-partitioned series sums the lag products of every series between the
-requested interventions.  Those sums plus the values next to each cut are sufficient for every
-candidate order, so the order search, its refit and any number of further cuts (placebo dates) cost
-no further pass.  A fitted model is a short filter, applied to the rows where they already lie.
+Plan.  Every block of a series is one array, joined to the end of the block before it, so lag products at any distance up
+to a block are a few matrix products.  Blocks sum them up to each requested intervention; running sums over blocks give
+the moments before every cut.  Those sums plus the values next to the cut are sufficient for every candidate order, so
+the order search, its refit and any number of further cuts (placebo dates) cost no further pass, and a pass costs as
+much as there are rows and cuts.  A fitted model is a short filter, applied to the same arrays.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions import hannan_rissanen as hr
 from tidemark.functions.stats import Z_975
+from tidemark.operators import series
 from tidemark.operators.inference import effect_summary, ljung_box
-from tidemark.operators.series import OVERLAP, blocks, own_rows, per_block, with_lags
+from tidemark.operators.series import blocks, own_rows, per_block, with_lags
 from tidemark.session import checkpointed
 
 # The search grid, the default order, the seasonal periods tried, and the reference's tiers by length.
@@ -28,11 +30,11 @@ LONG_SERIES, LONG_PRE = 5000, 1000
 DEFAULT_ORDER = (1, 1, 1)
 SEASONAL_BASE = (1, 1, 1)
 SEASONAL_PERIODS = ((10000, 0), (3000, 7), (200, 12), (50, 4))
-PERIODS, MAX_PERIOD = (4, 7, 12), 12
+PERIODS = (4, 7, 12)
 
-LAGS = hr.sample_lags(hr.MAX_LONG_AR, 0)
-SEASONAL_LAGS = hr.sample_lags(hr.MAX_LONG_AR, MAX_PERIOD)
 FORECAST_ROWS = 1024
+SEASONAL_ROWS = 3 * 6  # three rows for each coefficient of the largest seasonal candidate
+OK, FIT_FAILED = "ok", "fit_failed"
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
@@ -46,6 +48,7 @@ _MODEL = _struct(
 _CANDIDATES = T.ArrayType(_struct(aic=_DOUBLE, p=_INT, d=_INT, q=_INT))
 _SEASONAL_CANDIDATES = T.ArrayType(_struct(aic=_DOUBLE, P=_INT, D=_INT, Q=_INT, s=_INT))
 _FORECAST = T.ArrayType(_struct(mean=_DOUBLE, se=_DOUBLE))
+_SUMS = T.ArrayType(_struct(cut=T.LongType(), total=_DOUBLE, products=_DOUBLES, tail=_DOUBLES))
 
 
 def max_order(n: Column, n_pre: Column) -> Column:
@@ -86,48 +89,76 @@ def difference(indexed: DataFrame, keys: Sequence[str], d: int = 1, D: int = 0,
     return lagged.withColumn("z", z).drop("lags", "block")
 
 
-def lag_moments(lagged: DataFrame, cuts: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
-    """Sums of lag products of every series before each of its cuts.
+def block_arrays(blocked: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
+    """(keys, block, rows, previous): the rows (t, ts, y) of every block in order, and the last ``reach`` values of the
+    block before, which is found by a join of the blocks with themselves, one block on."""
+    if reach > series.BLOCK_ROWS:
+        raise ValueError(f"{reach} lags do not fit a block of {series.BLOCK_ROWS} rows")
+    made = own_rows(blocked).groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("t", "ts", "y"))).alias("rows"))
+    last = F.slice("rows", F.greatest(F.size("rows") - reach + 1, F.lit(1)), F.lit(reach))
+    ends = made.select(*keys, (F.col("block") + 1).alias("block"), F.transform(last, lambda r: r["y"]).alias("previous"))
+    return made.join(ends, [*keys, "block"], "left")
 
-    ``cuts``: one row per series with ``cuts`` (sorted indices), ``n`` and ``pivot``.  A row of the series
-    counts once, towards the segment between the two cuts around it; the running sum over the few
-    segments then gives the moments before each cut.  Returns (keys, cut, products, total).
+
+@F.pandas_udf(_SUMS)
+def _block_sums(values: pd.Series, previous: pd.Series, cuts: pd.Series, pivot: pd.Series, t0: pd.Series, depth: pd.Series) -> pd.Series:
+    """Of every block: sums of lag products from its start up to each of its cuts, and (cut null) to its end."""
+    out = []
+    for y, before, at, centre, start, lags in zip(values, previous, cuts, pivot, t0, depth, strict=True):
+        x = np.asarray(y, float) - centre
+        known = np.zeros(0) if before is None else np.asarray(before, float) - centre
+        padded = np.concatenate([np.zeros(lags + 1 - len(known)), known, x])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, lags + 1)[1:, ::-1]  # x_t, x_(t-1), ..., x_(t-depth)
+        products, total, made, done = np.zeros(lags + 1), 0.0, [], 0
+        for cut in [*(() if at is None else at), None]:
+            end = len(x) if cut is None else int(cut - start)
+            part = x[done:end]
+            products, total, done = products + part @ windows[done:end], total + float(part.sum()), end
+            tail = padded[max(lags + 1 - len(known), end) : end + lags + 1][::-1]
+            made.append({"cut": cut, "total": total, "products": products, "tail": None if cut is None else tail})
+        out.append(made)
+    return pd.Series(out)
+
+
+def lag_moments(arrays: DataFrame, cuts: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
+    """(keys, cut, products, total, tail): sums of lag products of every series before each of its cuts.
+
+    ``cuts``: distinct (keys, cut, pivot).  Cuts go to the block of the last row before them; a block's sums up to its
+    cuts are found in one go, and running sums of whole blocks are added.
     """
-    product = "sum((lags[0] - pivot) * (get(lags, {k}) - pivot)) AS s{k}"
-    segments = (
-        lagged.join(per_block(cuts, "n"), [*keys, "block"])
-        .where(F.col("t") < F.element_at("cuts", -1))
-        .withColumn("_part", F.size(F.filter("cuts", lambda c: c <= F.col("t"))))
-        .withColumn("cut", F.get("cuts", F.col("_part")))
-        .groupBy(*keys, "cut")
-        .agg(F.expr("sum(lags[0] - pivot) AS total"), *[F.expr(product.format(k=k)) for k in range(depth + 1)])
+    last = F.floor((F.col("cut") - 1) / series.BLOCK_ROWS)
+    inside = cuts.groupBy(*keys, last.alias("block")).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    spans = per_block(cuts.groupBy(*keys).agg(F.max("cut").alias("n"), F.max("pivot").alias("pivot")), "n").drop("n")
+    parts = (
+        arrays.join(spans, [*keys, "block"])
+        .join(inside, [*keys, "block"], "left")
+        .withColumn("sums", _block_sums(
+            F.transform("rows", lambda r: r["y"]), "previous", "cuts", "pivot", F.col("block") * series.BLOCK_ROWS, F.lit(depth)
+        ))
+        .select(*keys, "block", F.inline("sums"))
     )
-    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY cut ROWS UNBOUNDED PRECEDING)"
-    running = ", ".join(f"coalesce(sum(s{k}) {over}, 0D)" for k in range(depth + 1))
-    return segments.select(*keys, "cut", F.expr(f"sum(total) {over} AS total"), F.expr(f"array({running}) AS products"))
+    earlier = f"OVER (PARTITION BY {', '.join([f'`{k}`' for k in keys] or ['1'])} ORDER BY block, cut NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    def running(value: str) -> str:
+        return f"coalesce(sum(CASE WHEN cut IS NULL THEN {value} END) {earlier}, 0D)"
+
+    before = ", ".join(running(f"get(products, {k})") for k in range(depth + 1))
+    summed = parts.select(*keys, "cut", "products", "tail", F.expr(f"total + {running('total')} AS total"), F.expr(f"array({before}) AS before"))
+    return summed.where("cut IS NOT NULL").select(*keys, "cut", "total", "tail", F.zip_with("products", "before", lambda a, b: a + b).alias("products"))
 
 
-def _moments(located: DataFrame, lagged: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
+def _moments(located: DataFrame, arrays: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
     """Analyses with everything a fit needs: products, total, the first and the last values."""
-    cuts = located.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("idx")).alias("cuts"), F.max("n").alias("n"), F.max("pivot").alias("pivot")
-    )
-    sums = lag_moments(lagged, cuts, keys, depth)
-    ends = lagged.join(per_block(cuts, "n"), [*keys, "block"]).where(
-        (F.col("t") == depth - 1) | F.array_contains("cuts", F.col("t") + 1)
-    ).select(*keys, (F.col("t") + 1).alias("cut"), F.transform("lags", lambda v: v - F.col("pivot")).alias("tail"))
-    heads = ends.where(F.col("cut") == depth).select(*keys, F.col("tail").alias("long_head"))
+    cuts = located.groupBy(*keys, F.col("idx").alias("cut")).agg(F.max("pivot").alias("pivot"))
+    sums = lag_moments(arrays, cuts, keys, depth)
+    first = F.transform(F.slice("rows", 1, depth), lambda r: r["y"])
+    heads = arrays.where("block = 0").select(*keys, first.alias("first_values"))
+    joined = located.withColumn("cut", F.col("idx")).join(sums, [*keys, "cut"])
+    joined = series.join_per_key(joined, heads, keys)
     # A row is small but costs milliseconds to fit, so the number of tasks must not follow from the bytes.
     tasks = int(located.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        located.withColumn("cut", F.col("idx"))
-        .join(sums, [*keys, "cut"])
-        .join(ends, [*keys, "cut"])
-        .join(heads, list(keys), "left")
-        .withColumn("head", F.reverse(F.when(F.col("cut") > depth, F.col("long_head")).otherwise(F.col("tail"))))
-        .drop("cut", "long_head")
-        .repartition(tasks, "analysis_id", *keys)
-    )
+    head = F.slice(F.transform("first_values", lambda v: v - F.col("pivot")), F.lit(1), F.least(F.col("cut"), F.lit(depth)).cast("int"))
+    return joined.withColumn("head", head).drop("cut", "first_values").repartition(tasks, "analysis_id", *keys)
 
 
 def _read(row) -> hr.Moments:
@@ -145,11 +176,12 @@ _MOMENT_COLUMNS = ["n_pre", "products", "total", "head", "tail"]
 
 @F.pandas_udf(_CANDIDATES)
 def _fit_candidates(
-    n_pre: pd.Series, products: pd.Series, total: pd.Series, head: pd.Series, tail: pd.Series, bound: pd.Series
+    n_pre: pd.Series, products: pd.Series, total: pd.Series, head: pd.Series, tail: pd.Series, bound: pd.Series,
+    longest: pd.Series,
 ) -> pd.Series:
     out = []
-    for row in _frame(n_pre, products, total, head, tail, bound, names=[*_MOMENT_COLUMNS, "bound"]):
-        grid = hr.Grid(_read(row), 0)
+    for row in _frame(n_pre, products, total, head, tail, bound, longest, names=[*_MOMENT_COLUMNS, "bound", "longest"]):
+        grid = hr.Grid(_read(row), 0, longest=row.longest)
         found = []
         for p in range(row.bound + 1):
             for d in range(MAX_D + 1):
@@ -163,17 +195,18 @@ def _fit_candidates(
 
 @F.pandas_udf(_SEASONAL_CANDIDATES)
 def _fit_seasonal_candidates(
-    n_pre: pd.Series, products: pd.Series, total: pd.Series, head: pd.Series, tail: pd.Series, periods: pd.Series
+    n_pre: pd.Series, products: pd.Series, total: pd.Series, head: pd.Series, tail: pd.Series, periods: pd.Series,
+    longest: pd.Series,
 ) -> pd.Series:
     out = []
-    for row in _frame(n_pre, products, total, head, tail, periods, names=[*_MOMENT_COLUMNS, "periods"]):
+    for row in _frame(n_pre, products, total, head, tail, periods, longest, names=[*_MOMENT_COLUMNS, "periods", "longest"]):
         mom, tried = _read(row), [int(s) for s in row.periods]
-        if len(tried) > 1:  # periods that half of the rows can tell, on one sample
-            tried = [s for s in tried if mom.n >= 2 * hr.grid_lags(mom.n, s)]
-        lags = max((hr.grid_lags(mom.n, s) for s in tried), default=0)
+        if len(tried) > 1:  # on one sample, whose lags leave every candidate enough rows
+            tried = [s for s in tried if mom.n - hr.grid_lags(mom.n, s, row.longest) >= SEASONAL_ROWS]
+        lags = max((hr.grid_lags(mom.n, s, row.longest) for s in tried), default=0)
         found = []
         for s in tried:
-            grid = hr.Grid(mom, s, lags)
+            grid = hr.Grid(mom, s, lags, row.longest)
             for P, D, Q in ((0, 0, 1), (0, 1, 1), (1, 0, 0), (1, 1, 0), (1, 0, 1), (1, 1, 1)):
                 aic = grid.aic(hr.Spec(*SEASONAL_BASE, P, D, Q, s))
                 if aic is not None:
@@ -185,15 +218,15 @@ def _fit_seasonal_candidates(
 @F.pandas_udf(_MODEL)
 def _fit_model(
     n_pre: pd.Series, products: pd.Series, total: pd.Series, head: pd.Series, tail: pd.Series,
-    order: pd.Series, seasonal: pd.Series,
+    order: pd.Series, seasonal: pd.Series, longest: pd.Series,
 ) -> pd.DataFrame:
     out = []
     for row in _frame(
-        n_pre, products, total, head, tail, order, seasonal, names=[*_MOMENT_COLUMNS, "order", "seasonal"]
+        n_pre, products, total, head, tail, order, seasonal, longest, names=[*_MOMENT_COLUMNS, "order", "seasonal", "longest"]
     ):
         mom = _read(row)
         extra = [] if row.seasonal is None else [int(v) for v in row.seasonal]
-        fit = hr.Grid(mom, extra[3] if extra else 0).fit(hr.Spec(*(int(v) for v in row.order), *extra))
+        fit = hr.Grid(mom, extra[3] if extra else 0, longest=row.longest).fit(hr.Spec(*(int(v) for v in row.order), *extra))
         out.append(fit or hr.random_walk(mom))
     return pd.DataFrame(out, columns=list(hr.Fit._fields))
 
@@ -206,6 +239,22 @@ def _model(row) -> hr.Fit:
 _FORECAST_COLUMNS = ["sigma2", "const", "ar", "ma", "last_errors", "tail"]
 
 
+@F.pandas_udf(_DOUBLES)
+def _fitted_block(
+    values: pd.Series, previous: pd.Series, weights: pd.Series, const: pd.Series, pivot: pd.Series, pre_mean: pd.Series,
+    differenced: pd.Series,
+) -> pd.Series:
+    """One-step predictions of a block: a filter of the values before each row."""
+    out = []
+    for y, before, w, c, centre, mean, by_first in zip(values, previous, weights, const, pivot, pre_mean, differenced, strict=True):
+        x, w = np.asarray(y, float) - centre, np.asarray(w, float)
+        lead = np.full(len(w), (y[0] if by_first else mean) - centre)
+        if before is not None:
+            lead = (np.asarray(before, float) - centre)[len(before) - len(w) :]
+        out.append(centre + c + np.convolve(np.concatenate([lead, x]), np.concatenate([[0.0], w]), "full")[len(w) : len(w) + len(x)])
+    return pd.Series(out)
+
+
 @F.pandas_udf(_FORECAST)
 def _forecast_block(
     sigma2: pd.Series, const: pd.Series, ar: pd.Series, ma: pd.Series, last_errors: pd.Series, tail: pd.Series,
@@ -245,34 +294,42 @@ class ArimaPlan:
     """Fits, forecasts and points of a set of analyses over prepared series (``series.prepare``).
 
     ``located`` holds one row per analysis: analysis_id, keys, idx, n, n_pre, n_post, pivot, status and,
-    optionally, ``order`` (array<int>) to bypass the search.  Only rows with status ``ok`` are fitted.
+    optionally, ``order`` (array<int>: p, d, q) and ``seasonal_order`` (array<int>: P, D, Q, s) to bypass the searches.
+    Only rows with status ``ok`` are fitted.
 
-    The whole grid is searched at any length, and the seasonal period is ``period`` or, of ``PERIODS``, the one of
-    lowest AIC.  ``tiers`` limits orders and periods by length as the reference does, for comparison with it.
+    The whole grid is searched at any length, and the seasonal period is ``period`` or, of ``periods``, the one of
+    lowest AIC; periods and the lags of the first stage, at most ``max_long_ar``, must fit a block of rows.  ``tiers``
+    limits orders and periods by length as the reference does, for comparison with it.
+
+    A series on which nothing can be fitted has ``fit_status`` ``fit_failed`` among the models, and no points or effect.
     """
 
     def __init__(
         self, blocked: DataFrame, located: DataFrame, keys: Sequence[str], seasonal: bool = False,
-        period: int | None = None, tiers: bool = False,
+        period: int | None = None, tiers: bool = False, periods: Sequence[int] = PERIODS, max_long_ar: int = hr.MAX_LONG_AR,
     ):
         self.keys = list(keys)
         self.by = ["analysis_id", *self.keys]
+        for name in ("order", "seasonal_order"):
+            if name not in located.columns:
+                located = located.withColumn(name, F.lit(None).cast("array<int>"))
+        self.located = checkpointed(located.where(F.col("status") == "ok"))
         self.seasonal = seasonal
-        self.period, self.tiers = period, tiers
-        self.depth = hr.sample_lags(hr.MAX_LONG_AR, max(MAX_PERIOD, period or 0)) if seasonal else LAGS
-        if period is not None and (period < 2 or self.depth > OVERLAP):
-            raise ValueError(f"a period of {period} needs lags beyond the {OVERLAP} rows that blocks share")
+        self.tiers, self.longest = tiers, max_long_ar
+        self.periods = [period] if period is not None else list(periods)
+        if seasonal and min(self.periods, default=2) < 2:
+            raise ValueError(f"a period of {min(self.periods)} is no season")
+        given = self.located.agg(F.max(F.element_at("seasonal_order", 4))).first()[0] if seasonal else None
+        self.period = period
+        self.depth = hr.sample_lags(max_long_ar, max([*self.periods, given or 0]) if seasonal else 0)
         self.rows = own_rows(blocked)
-        self.lagged = with_lags(blocked, self.keys, self.depth)
-        if "order" not in located.columns:
-            located = located.withColumn("order", F.lit(None).cast("array<int>"))
-        self.located = checkpointed(located.where(F.col("status") == "ok"))
+        self.arrays = block_arrays(blocked, self.keys, self.depth + 1)
 
     def candidates(self) -> DataFrame:
         """Moments of each analysis with its candidate fits (``candidates``: aic and order)."""
-        moments = _moments(self.located, self.lagged, self.keys, self.depth)
-        grid = _fit_candidates(*_MOMENT_COLUMNS, max_order(F.col("n"), F.col("n_pre")) if self.tiers else F.lit(MAX_P))
-        return moments.withColumn("candidates", grid)
+        moments = _moments(self.located, self.arrays, self.keys, self.depth)
+        bound = max_order(F.col("n"), F.col("n_pre")) if self.tiers else F.lit(MAX_P)
+        return moments.withColumn("candidates", _fit_candidates(*_MOMENT_COLUMNS, bound, F.lit(self.longest)))
 
     def models(self) -> DataFrame:
         """One fitted model per analysis; checkpointed, as points and forecasts both start from it."""
@@ -284,24 +341,27 @@ class ArimaPlan:
             length = seasonal_period(F.col("n")) if self.tiers else F.lit(self.period or 0)
             periods = F.when(length > 0, F.array(length))
             if not self.tiers:
-                periods = F.coalesce(periods, F.array(*map(F.lit, PERIODS)))
+                periods = F.coalesce(periods, F.array(*map(F.lit, self.periods)))
             periods = F.coalesce(periods, F.array().cast("array<int>"))
             fallback = F.when(length > 0, F.array(F.lit(0), F.lit(1), F.lit(1), length))
             best = F.array_min("seasonal_candidates")
             known = best.isNotNull() & ((F.col("n_pre") <= LONG_SERIES) if self.tiers else F.lit(True))
             chosen = (
-                chosen.withColumn("seasonal_candidates", _fit_seasonal_candidates(*_MOMENT_COLUMNS, periods))
+                chosen.withColumn("seasonal_candidates", _fit_seasonal_candidates(*_MOMENT_COLUMNS, periods, F.lit(self.longest)))
                 .withColumn(
                     "seasonal_order",
-                    F.when(known, F.array(best["P"], best["D"], best["Q"], best["s"])).otherwise(fallback),
+                    F.coalesce("seasonal_order", F.when(known, F.array(best["P"], best["D"], best["Q"], best["s"])).otherwise(fallback)),
                 )
                 .drop("seasonal_candidates")
             )
         else:
             chosen = chosen.withColumn("seasonal_order", F.lit(None).cast("array<int>"))
-        fitted = chosen.withColumn("model", _fit_model(*_MOMENT_COLUMNS, "arima_order", "seasonal_order"))
+        fitted = chosen.withColumn("model", _fit_model(*_MOMENT_COLUMNS, "arima_order", "seasonal_order", F.lit(self.longest)))
+        # a constant series is its own forecast; any other without a fit has none
+        unfitted = (F.col("model.aic").isNull() | F.isnan("model.aic")) & (F.col("model.sigma2") > 0)
         return checkpointed(
             fitted.withColumn("pre_mean", F.col("pivot") + F.col("total") / F.col("n_pre"))
+            .withColumn("fit_status", F.when(unfitted, FIT_FAILED).otherwise(OK))
             .drop("products", "total", "head", "candidates", "order")
         )
 
@@ -328,6 +388,7 @@ class ArimaPlan:
         ``fit_t`` counts the pre rows from the first one with all its lags; before that values ahead of the
         series are taken to be its mean (its first value, if differenced).
         """
+        models = models.where(F.col("fit_status") == OK)
         filters = per_block(
             models.select(
                 *self.by, "idx", "pivot", "pre_mean", F.element_at("arima_order", 2).alias("d"),
@@ -336,23 +397,16 @@ class ArimaPlan:
             "n_pre",
         )
         differenced = (F.col("d") + F.coalesce(F.get("seasonal_order", F.lit(1)), F.lit(0))) > 0
-        before_start = F.when(differenced, F.element_at("lags", -1)).otherwise(F.col("pre_mean"))
-        terms = F.zip_with(
-            F.slice("lags", 2, self.depth),
-            "filter",
-            lambda y, w: F.coalesce(w, F.lit(0.0)) * (F.coalesce(y, F.col("pad")) - F.col("pivot")),
-        )
+        fitted = _fitted_block(F.transform("rows", lambda r: r["y"]), "previous", "filter", "filter_const", "pivot", "pre_mean", differenced)
         pre = (
-            self.lagged.join(filters, [*self.keys, "block"])
+            self.arrays.join(filters, [*self.keys, "block"])
+            .withColumn("fitted", fitted)
+            .select(*self.by, "idx", F.size("filter").alias("lags"), F.explode(F.arrays_zip("rows", "fitted")).alias("at"))
+            .select(*self.by, "idx", "lags", "at.rows.*", "at.fitted")
             .where(F.col("t") < F.col("idx"))
-            .withColumn("pad", before_start)
-            .withColumn(
-                "fitted",
-                F.col("pivot") + F.col("filter_const") + F.aggregate(terms, F.lit(0.0), lambda a, v: a + v),
-            )
             .select(*self.by, "t", "ts", F.lit(False).alias("is_post"), F.col("y").alias("observed"), "fitted",
                     F.col("fitted").alias("counterfactual"), F.lit(None).cast("double").alias("cf_lower"),
-                    F.lit(None).cast("double").alias("cf_upper"), (F.col("t") - F.size("filter")).alias("fit_t"))
+                    F.lit(None).cast("double").alias("cf_upper"), (F.col("t") - F.col("lags")).alias("fit_t"))
         )
         post = self.rows.join(self.forecasts(models), [*self.keys, "t"]).select(
             *self.by, "t", "ts", F.lit(True).alias("is_post"), F.col("y").alias("observed"),
@@ -372,4 +426,4 @@ class ArimaPlan:
     def mean_effects(self, models: DataFrame) -> DataFrame:
         """Only the effect (mean of observed minus forecast), with no pass over the post rows' forecasts."""
         steps = F.col("n_post")
-        return models.withColumn("forecast_mean", F.col("pivot") + _forecast_mean(*_model_fields(), steps))
+        return models.where(F.col("fit_status") == OK).withColumn("forecast_mean", F.col("pivot") + _forecast_mean(*_model_fields(), steps))

@@ -141,7 +141,7 @@ class LocalLevelPlan:
         return folded.withColumn("entering", F.lag("add", 1, 0.0).over(order)).drop("keep", "add")
 
     def models(self) -> DataFrame:
-        """(by, q, level, P, sigma2, loglik): the ratio with the highest likelihood per analysis."""
+        """(by, q, level, P, sigma2, loglik, fit_status): the ratio with the highest likelihood per analysis."""
         level_in = F.col("entering")
         sse = F.col("uu") + 2 * F.col("uv") * level_in + F.col("vv") * level_in * level_in
         tried = (
@@ -164,6 +164,7 @@ class LocalLevelPlan:
             F.struct(F.coalesce("loglik", F.lit(float("inf"))), -F.col("q")),
         )
         chosen = scored.groupBy(*self.by).agg(best.alias("m")).select(*self.by, "m.*")
+        chosen = chosen.withColumn("fit_status", F.when(F.col("level").isNull(), "fit_failed").otherwise("ok"))
         return checkpointed(chosen.join(self.located.select(*self.by, "idx", "n", "n_pre", "n_post"), self.by))
 
     def points(self, models: DataFrame) -> DataFrame:

@@ -96,4 +96,7 @@ def subgroup_effects(
         *outer, "effect", "effect_pct", "cf_ci_lower", "cf_ci_upper", "effect_ci_lower", "effect_ci_upper", "p_value",
         "significant",
     )
-    return located.select(*outer, "n_points", "status").join(effects, outer, "left")
+    fits = models.select(*outer, "fit_status")
+    status = F.when((F.col("status") == "ok") & (F.col("fit_status") != "ok"), F.col("fit_status")).otherwise(F.col("status"))
+    joined = located.select(*outer, "n_points", "status").join(fits, outer, "left").withColumn("status", status)
+    return joined.drop("fit_status").join(effects, outer, "left")

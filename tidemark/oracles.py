@@ -346,6 +346,30 @@ ORACLES: dict[str, str] = {
         both_fits AS (SELECT event_type, 0 AS d, const, phi, sigma2, m, 3 AS k FROM fits UNION ALL SELECT event_type, 1, 0.0, phi, sigma2, m, 2 FROM walk)
         SELECT 'mid' AS analysis_id, event_type, d::BIGINT AS d, {rounded('const', 'phi', 'sigma2')},
           round(m * (ln(2 * pi() * sigma2) + 1) + 2 * k + 1e-8, 4) AS aic FROM both_fits""",
+    "sarimax_hourly": f"""WITH RECURSIVE {LOCATED}, sized AS (
+          SELECT event_type, idx, n, least(greatest(6, round(10 * log10(idx - 49))), (idx - 49) // 4, 24)::BIGINT + 49 AS first_t FROM located),
+        lagged AS (SELECT event_type, t, y, lag(y) OVER w AS y1, lag(y, 24) OVER w AS y24 FROM series WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+        sums AS (SELECT event_type, count(*) AS m, avg(y) AS my, avg(y1) AS m1, avg(y24) AS m24, covar_pop(y, y1) AS c1, covar_pop(y, y24) AS c24,
+            covar_pop(y1, y24) AS c, var_pop(y1) AS v1, var_pop(y24) AS v24, var_pop(y) AS v
+          FROM lagged JOIN sized USING (event_type) WHERE t >= first_t AND t < idx GROUP BY 1),
+        slopes AS (SELECT *, (c1 * v24 - c24 * c) / (v1 * v24 - c * c) AS a, (c24 * v1 - c1 * c) / (v1 * v24 - c * c) AS b FROM sums),
+        fits AS (SELECT *, my - a * m1 - b * m24 AS const, v - a * c1 - b * c24 AS sigma2 FROM slopes),
+        ahead(event_type, t, n, past) AS (
+          SELECT event_type, idx - 1, n, (SELECT list(y ORDER BY t DESC) FROM series s WHERE s.event_type = l.event_type AND t < idx AND t >= idx - 24) FROM located l
+          UNION ALL
+          SELECT event_type, t + 1, n, list_prepend(const + a * past[1] + b * past[24], past[1:23]) FROM ahead JOIN fits USING (event_type) WHERE t + 1 < n),
+        gaps AS (SELECT event_type, avg(y - past[1]) AS effect, avg((y - past[1]) / abs(past[1])) * 100 AS effect_pct FROM ahead JOIN series USING (event_type, t)
+          JOIN located USING (event_type) WHERE t >= idx GROUP BY 1)
+        SELECT 'mid' AS analysis_id, event_type, 'ok' AS fit_status, {rounded('const', 'sigma2', 'effect', 'effect_pct')}, round(a + 1e-8, 4) AS phi_hour, round(b + 1e-8, 4) AS phi_day,
+          round(m * (ln(2 * pi() * sigma2) + 1) + 8 + 1e-8, 4) AS aic, idx AS n_pre, n - idx AS n_post FROM fits JOIN gaps USING (event_type) JOIN located USING (event_type)""",
+    "fit_failures": """WITH days AS (SELECT DISTINCT event_type, date_trunc('day', ts) AS ts FROM events),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS t, count(*) OVER (PARTITION BY event_type) AS n FROM days),
+        specs AS (SELECT * FROM (VALUES ('four days', 'arima', TIMESTAMP '2024-01-05'), ('one day', 'arima', TIMESTAMP '2024-01-02'),
+          ('four days, level', 'bsts', TIMESTAMP '2024-01-05'), ('last day', 'arima', TIMESTAMP '2024-01-30')) v(analysis_id, method, since)),
+        found AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, event_type ORDER BY abs(epoch_us(ts) - epoch_us(since)), ts DESC) AS near FROM numbered CROSS JOIN specs),
+        judged AS (SELECT *, CASE WHEN t < greatest(3, floor(n * 0.05)) THEN 'too_early' WHEN n - t - 1 < greatest(3, floor(n * 0.05)) THEN 'too_late'
+          WHEN n < 30 THEN 'too_short' WHEN method = 'arima' THEN 'fit_failed' ELSE 'ok' END AS status FROM found WHERE near = 1)
+        SELECT analysis_id, event_type AS series_key, method, status, status = 'ok' AS has_effect, t AS n_pre, n - t AS n_post FROM judged""",
     "seasonal_period": """SELECT series_key, n, CASE WHEN n > 10000 THEN 0 WHEN n > 3000 THEN 7 WHEN n > 200 THEN 12 WHEN n > 50 THEN 4 ELSE 0 END::BIGINT AS period
         FROM (SELECT 'user ' || user_id AS series_key, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY 1)""",
     "arima_forecast": f"WITH {AR1_POINTS} SELECT 'mid' AS analysis_id, event_type, t, round(counterfactual + 1e-8, 4) AS mean, round(se + 1e-8, 4) AS se FROM points WHERE is_post",

@@ -71,7 +71,10 @@ def series_effects(
     models = plan.models()
     effects = plan.effects(models, plan.points(models)).drop("n_pre", "n_post")
     by = ["analysis_id", *keys]
-    return _unified(located.select(*by, "status", "n_pre", "n_post").join(effects, by, "left"), method, key)
+    fits = models.select(*by, "fit_status")
+    joined = located.select(*by, "status", "n_pre", "n_post").join(fits, by, "left").join(effects, by, "left")
+    status = F.when((F.col("status") == "ok") & (F.col("fit_status") != "ok"), F.col("fit_status")).otherwise(F.col("status"))
+    return _unified(joined.withColumn("status", status), method, key)
 
 
 def panel_effects(rows: DataFrame, key: str, ts: str, y: str, analyses: Sequence[Analysis], method: str) -> DataFrame:

@@ -424,6 +424,30 @@ def sarimax_effects(spark, d):
     return shown(plan.effects(models, plan.points(models)))
 
 
+@query
+def sarimax_hourly(spark, d):
+    """A season of a day on hourly series, at a fixed order: y on the hour and the day before."""
+    blocked, found = prepared_hourly(spark, d)
+    orders = {"order": fixed_order(1, 0, 0), "seasonal_order": F.array(*map(F.lit, (1, 0, 0, 24)))}
+    plan = ArimaPlan(blocked, found.withColumns(orders), KEY, seasonal=True, period=24)
+    models = plan.models()
+    hour, day = F.get("model.ar", F.lit(0)), F.get("model.ar", F.lit(23))
+    fits = models.select(
+        *BY, "fit_status", (F.col("model.const") + F.col("pivot") * (1 - hour - day)).alias("const"), hour.alias("phi_hour"), day.alias("phi_day"),
+        F.col("model.sigma2").alias("sigma2"),
+    )
+    effects = plan.effects(models, plan.points(models)).select(*BY, "aic", "effect", "effect_pct", "n_pre", "n_post")
+    return shown(fits.join(effects, BY, "left"))
+
+
+@query
+def fit_failures(spark, d):
+    """Daily series with so few days before the date that nothing can be fitted, and dates out of reach."""
+    analyses = [Analysis("four days", "2024-01-05"), Analysis("one day", "2024-01-02"), Analysis("four days, level", "2024-01-05", "bsts"), Analysis("last day", "2024-01-30")]
+    rows = causal_effects(events(spark, d).select("event_type", "ts", "value"), "event_type", "ts", "value", analyses, "day")
+    return rows.select("analysis_id", "series_key", "method", "status", F.col("effect").isNotNull().alias("has_effect"), "n_pre", "n_post")
+
+
 @query
 def effect_summary(spark, d):
     return shown(inference.effect_summary(mean_points(spark, d), BY))
