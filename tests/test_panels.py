@@ -149,14 +149,41 @@ def test_synthetic_effect(spark):
 
 
 def test_dates_missing_for_a_donor(spark):
-    table = sc_table(donors=3)
-    holes = table[~((table.unit == "d00") & table.ts.isin(pd.to_datetime(["2020-12-05", "2021-01-03"])))]
+    """A donor without one of the treated unit's pre dates is left out; without a post date it makes a hole there."""
+    table = sc_table(donors=4)
+    holes = table[~((table.unit == "d00") & (table.ts == pd.Timestamp("2020-12-05"))) & ~((table.unit == "d01") & (table.ts == pd.Timestamp("2021-01-03")))]
     made = synth.sc_panel(spark.createDataFrame(holes), "unit", "ts", "y")
     specs = [("a", "t", AT)]
-    points = synth.sc_points(made, synth.sc_weights(made, specs), specs)
-    rows = points.toPandas().set_index("ts")
-    assert len(rows) == 40 and rows.counterfactual.isna().sum() == 2
-    assert synth.sc_effects(points).first().n_pre == 30
+    weights = synth.sc_weights(made, specs)
+    held = {r.unit: r.weight for r in weights.collect()}
+    assert "d00" not in held and held["d01"] > 0
+    rows = synth.sc_points(made, weights, specs).toPandas().set_index("ts")
+    assert len(rows) == 40 and rows.counterfactual.isna().sum() == 1
+    assert synth.sc_effects(synth.sc_points(made, weights, specs)).first().n_pre == 31
+    donors = synth.sc_donors(made, specs).first()
+    assert (donors.n_dates, donors.n_donors, donors.n_donors_dropped) == (31, 3, 1)
+
+
+def test_a_late_donor_costs_the_others_nothing(spark):
+    table = sc_table(donors=6)
+    late = pd.concat([table, table[(table.unit == "d05") & (table.ts >= AT)].assign(unit="late")])
+    specs = [("a", "t", AT), ("b", "late", "2021-01-05")]
+    made = synth.sc_panel(spark.createDataFrame(late), "unit", "ts", "y")
+    alone = synth.sc_panel(spark.createDataFrame(table), "unit", "ts", "y")
+    got, want = ({r.unit: r.weight for r in synth.sc_weights(m, specs[:1]).collect()} for m in (made, alone))
+    assert got == pytest.approx(want)
+    fits = synth.sc_fits(made, specs)
+    assert all(r.converged for r in fits.collect()) and {r.analysis_id for r in fits.collect()} == {"a", "b"}
+    assert {r.analysis_id: r.status for r in synth.sc_status(made, fits, specs).collect()} == {"a": "ok", "b": "ok"}
+    capped = synth.sc_fits(made, specs[:1], working_set=1, max_rounds=1)
+    assert not any(r.converged for r in capped.collect())
+
+
+def test_no_donor_on_all_dates(spark):
+    table = sc_table(donors=3)
+    gone = table[(table.unit == "t") | (table.ts >= pd.Timestamp("2020-12-10"))]
+    effects = causal_effects(spark.createDataFrame(gone), "unit", "ts", "y", [Analysis("s", AT, "synthetic_control", "t")], "day", details=True).first()
+    assert effects.status == "no_overlap" and effects.effect is None and (effects.n_donors, effects.n_donors_dropped) == (0, 3)
 
 
 def test_all_methods_in_one_table(spark):

@@ -7,17 +7,23 @@ import numpy as np
 
 def nearest_in_hull(points: np.ndarray, tol: float = 1e-12, rounds: int = 10_000) -> np.ndarray:
     """Weights (>= 0, sum 1) of the rows of ``points`` whose combination has the smallest norm."""
+    return hull_weights(points, tol, rounds)[0]
+
+
+def hull_weights(points: np.ndarray, tol: float = 1e-12, rounds: int = 10_000) -> tuple[np.ndarray, bool]:
+    """The weights of ``nearest_in_hull``, and whether the search ended by itself within ``rounds``."""
     count = len(points)
     scale = np.abs(points).max() or 1.0
     p = points / scale
     gram = p @ p.T
     start = int(np.argmin(np.diag(gram)))
-    members, weights = [start], np.array([1.0])
+    members, weights, settled = [start], np.array([1.0]), False
     for _ in range(rounds):
         slope = gram[:, members] @ weights
         norm = float(weights @ slope[members])
         best = int(np.argmin(slope))
         if slope[best] >= norm - tol * max(1.0, float(np.diag(gram).max())) or best in members:
+            settled = True
             break
         members.append(best)
         weights = np.append(weights, 0.0)
@@ -41,4 +47,4 @@ def nearest_in_hull(points: np.ndarray, tol: float = 1e-12, rounds: int = 10_000
             weights = weights[keep]
     out = np.zeros(count)
     out[members] = weights / weights.sum()
-    return out
+    return out, settled

@@ -25,10 +25,10 @@ MAJORITY = 0.5
 NOT_NUMERIC = r"[^\d.\-]"
 
 
-def parse_timestamp(text: Column) -> Column:
+def parse_timestamp(text: Column, day_first: bool = False) -> Column:
     """A timestamp from any of the recognised spellings, else null.
 
-    A cheap pattern picks the one format to try, as failing parses are slow.
+    A cheap pattern picks the one format to try, as failing parses are slow.  ``day_first``: 1/2/2021 is in February.
     """
     text = F.trim(text)
     parsed = None
@@ -38,12 +38,20 @@ def parse_timestamp(text: Column) -> Column:
         else:
             value = F.try_to_timestamp(text, F.lit(fmt))
             if fmt == "M/d/yyyy":
-                value = F.coalesce(value, F.try_to_timestamp(text, F.lit("d/M/yyyy")))
+                other = F.try_to_timestamp(text, F.lit("d/M/yyyy"))
+                value = F.coalesce(other, value) if day_first else F.coalesce(value, other)
         branch = text.rlike(pattern)
         parsed = F.when(branch, value) if parsed is None else parsed.when(branch, value)
     return parsed
 
 
+def day_comes_first(df: DataFrame, column: str) -> bool:
+    """Whether the dates with slashes in a text column must be d/M: more have a first number over 12 than a second one."""
+    first, second = (F.regexp_extract(F.trim(F.col(f"`{column}`")), DATE_FORMATS[1][0].replace(r"\d{1,2}", r"(\d{1,2})"), i).try_cast("int") for i in (1, 2))
+    row = df.agg(F.count(F.when((first > 12) & (second <= 12), 1)).alias("d"), F.count(F.when((second > 12) & (first <= 12), 1)).alias("m")).first()
+    return row.d > row.m
+
+
 def parse_number(text: Column) -> Column:
     """A double after stripping everything but digits, points and minus signs, else null."""
     return F.regexp_replace(text, NOT_NUMERIC, "").try_cast("double")

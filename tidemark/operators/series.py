@@ -8,10 +8,14 @@ bucket; lags are taken inside blocks of ``BLOCK_ROWS`` observations that carry a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators import detect
+from tidemark.operators.asof import nearest_rows
 from tidemark.session import checkpointed
 
 BLOCK_ROWS = 4096
@@ -36,20 +40,41 @@ def number_or_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def observed(df: DataFrame, ts: str, y: str) -> tuple[Column, Column]:
+    """Timestamp and value of a row, null where they cannot be read.  Text and numbers (years, 20210131) are parsed by
+    spelling; dates with slashes have the day first if some could not be read otherwise, which takes a look at them."""
+    time, value = df.schema[ts].dataType, df.schema[y].dataType
+    if detect.is_time(time):
+        stamp = F.col(ts).cast("timestamp")
+    else:
+        day_first = isinstance(time, T.StringType) and detect.day_comes_first(df, ts)
+        stamp = detect.parse_timestamp(F.col(ts).cast("string"), day_first)
+    number = F.col(y).try_cast("double") if isinstance(value, T.StringType) else F.col(y).cast("double")
+    return stamp, number_or_null(number)
+
+
+def rejected_rows(df: DataFrame, keys: Sequence[str], ts: str, y: str) -> DataFrame:
+    """(reason, n_rows) of the rows that take no part in a series; the first reason that holds, every reason listed."""
+    stamp, value = observed(df, ts, y)
+    reasons = {"no_key": reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.lit(False)),
+               "no_date": F.col(ts).isNull(), "bad_date": stamp.isNull(), "no_value": F.col(y).isNull(), "bad_value": value.isNull()}
+    first = reduce(lambda chain, r: chain.when(reasons[r], r), list(reasons)[1:], F.when(reasons["no_key"], "no_key"))
+    counted = df.select(first.alias("reason")).agg(*[F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in reasons])
+    return counted.select(F.inline(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(r).alias("n_rows")) for r in reasons])))
+
+
 def to_series(df: DataFrame, keys: Sequence[str], ts: str, y: str, grain: str | None = None) -> DataFrame:
     """(keys, ts, y): rows sharing a key and a timestamp (cut to ``grain``) collapse to their mean.
 
-    Rows without a key, a timestamp or a value take no part.  The mean is combined map-side, so a hot
-    key costs one partial row per task and timestamp.
+    Rows without a key, a timestamp or a value take no part (``rejected_rows`` counts them).  The mean is combined
+    map-side, so a hot key costs one partial row per task and timestamp.
     """
     if grain not in _BUCKET:
         raise ValueError(f"unknown grain {grain!r}; known: {[g for g in _BUCKET if g]}")
-    types = dict(df.dtypes)
-    stamp = F.try_to_timestamp(F.col(ts)) if types[ts] == "string" else F.col(ts).cast("timestamp")
-    value = F.col(y).try_cast("double") if types[y] == "string" else F.col(y).cast("double")
+    stamp, value = observed(df, ts, y)
     if grain:
         stamp = F.date_trunc(grain, stamp)
-    rows = df.select(*keys, stamp.alias("ts"), number_or_null(value).alias("y")).dropna()
+    rows = df.select(*keys, stamp.alias("ts"), value.alias("y")).dropna()
     return rows.groupBy(*keys, "ts").agg(F.avg("y").alias("y"))
 
 
@@ -168,21 +193,23 @@ def locate_interventions(
 ) -> DataFrame:
     """One row per (analysis_id, keys): idx of the nearest date (a tie goes to the later one), n, status.
 
-    ``carry`` names further spec columns to keep.
+    A short list is matched with no shuffle of rows.  A table of any size, which shares key columns with the series, is
+    sorted together with them: no pairs of rows and specs are formed.  ``carry`` names further columns of it to keep.
     """
-    away = F.unix_micros("ts") - F.unix_micros("intervention_ts")
-    # one number to order by, so that the aggregate hashes: nearest first, the later of two at a tie
-    distance = 2 * F.abs(away) + (away < 0).cast("long")
-    located = (
-        attach_specs(indexed, specs)
-        .groupBy("analysis_id", *keys)
-        .agg(
-            F.min_by("t", distance).alias("idx"),
-            F.count(F.lit(1)).alias("n"),
-            F.avg("y").alias("pivot"),
-            *[F.first(c).alias(c) for c in carry],
-        )
-    )
+    if isinstance(specs, DataFrame):
+        shared = [c for c in specs.columns if c in keys]
+        if not shared:
+            raise ValueError("the spec table shares no key with the series; give a list of pairs instead")
+        sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("pivot"))
+        asked = specs.select("analysis_id", *shared, F.col("intervention_ts").cast("timestamp").alias("intervention_ts"), *carry)
+        asked = asked.where(F.col("intervention_ts").isNotNull()).join(sizes, shared)
+        located = nearest_rows(indexed, keys, asked, "intervention_ts", BLOCK_ROWS).select("analysis_id", *keys, "idx", "n", "pivot", *carry)
+    else:
+        away = F.unix_micros("ts") - F.unix_micros("intervention_ts")
+        # one number to order by, so that the aggregate hashes: nearest first, the later of two at a tie
+        distance = 2 * F.abs(away) + (away < 0).cast("long")
+        located = attach_specs(indexed, specs).groupBy("analysis_id", *keys).agg(
+            F.min_by("t", distance).alias("idx"), F.count(F.lit(1)).alias("n"), F.avg("y").alias("pivot"))
     n_pre, n = F.col("idx"), F.col("n")
     return (
         located.withColumn("n_pre", n_pre)

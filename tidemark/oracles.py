@@ -316,6 +316,45 @@ ORACLES: dict[str, str] = {
         found AS (SELECT analysis_id, event_type, t AS idx, count(*) OVER (PARTITION BY analysis_id, event_type) AS n,
           row_number() OVER (PARTITION BY analysis_id, event_type ORDER BY abs(epoch_us(ts) - epoch_us(since)), ts DESC) AS near FROM series CROSS JOIN specs)
         SELECT analysis_id, event_type, idx, n, {LOWEST} WHEN n < 30 THEN 'too_short' ELSE 'ok' END AS status FROM found WHERE near = 1""",
+    "intervention_index_specs": f"""WITH series AS (
+          SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n
+          FROM (SELECT DISTINCT user_id, date_trunc('hour', ts) AS ts FROM events)),
+        found AS (SELECT e.event_id AS analysis_id, e.user_id, t AS idx, n, row_number() OVER (PARTITION BY e.event_id
+            ORDER BY abs(epoch_us(s.ts) - epoch_us(e.ts + INTERVAL 7 HOURS)), s.ts DESC) AS near FROM events e JOIN series s USING (user_id))
+        SELECT analysis_id, user_id, idx, n, {LOWEST} ELSE 'ok' END AS status FROM found WHERE near = 1""",
+    "series_rejects": """WITH judged AS (SELECT CASE WHEN event_id % 13 = 0 THEN 'no_key' WHEN event_id % 23 = 0 THEN 'bad_date'
+          WHEN event_id % 11 = 0 THEN 'bad_value' WHEN event_id % 17 = 0 THEN 'no_value' END AS reason, CASE WHEN event_id % 19 = 0 THEN 2 ELSE 1 END AS copies FROM events)
+        SELECT reason, coalesce(sum(copies), 0)::BIGINT AS n_rows
+        FROM (SELECT unnest(['no_key', 'no_date', 'bad_date', 'no_value', 'bad_value']) AS reason) LEFT JOIN judged USING (reason) GROUP BY 1""",
+    "causal_effects_specs": f"""WITH rows AS (SELECT c_nationkey AS unit, date_trunc('month', o_orderdate) AS ts, o_totalprice AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+        cells AS (SELECT unit, ts, count(*) AS n, sum(y) AS s FROM rows GROUP BY 1, 2), months AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS since FROM orders),
+        specs AS (SELECT u || '|' || strftime(since, '%Y-%m-%d') AS analysis_id, u, since FROM months, range(25) x(u) UNION ALL SELECT 'no such nation', 99, {ORDERS_AT}),
+        summed AS (SELECT analysis_id, u, coalesce(sum(n) FILTER (unit = u AND ts < since), 0)::BIGINT AS tpn, sum(s) FILTER (unit = u AND ts < since) AS tps,
+            coalesce(sum(n) FILTER (unit = u AND ts >= since), 0)::BIGINT AS tqn, sum(s) FILTER (unit = u AND ts >= since) AS tqs, sum(n) FILTER (unit <> u AND ts < since) AS cpn,
+            sum(s) FILTER (unit <> u AND ts < since) AS cps, sum(n) FILTER (unit <> u AND ts >= since) AS cqn, sum(s) FILTER (unit <> u AND ts >= since) AS cqs
+          FROM specs, cells GROUP BY 1, 2),
+        judged AS (SELECT *, CASE WHEN tpn + tqn = 0 THEN 'unknown_unit' WHEN tpn = 0 THEN 'no_pre_rows' WHEN tqn = 0 THEN 'no_post_rows' ELSE 'ok' END AS status,
+          (tqs / tqn - tps / tpn) - (cqs / cqn - cps / cpn) AS gap FROM summed)
+        SELECT analysis_id, u::VARCHAR AS series_key, 'did' AS method, status, CASE WHEN status = 'ok' THEN round(gap + 1e-8, 4) END AS effect,
+          CASE WHEN status = 'ok' THEN round(gap / (abs(tps / tpn) + 1e-10) * 100 + 1e-8, 4) END AS effect_pct,
+          CASE WHEN status = 'ok' THEN CASE WHEN gap > 0 THEN 'increase' ELSE 'decrease' END END AS direction, CASE WHEN status = 'ok' THEN tpn END AS n_pre,
+          CASE WHEN status = 'ok' THEN tqn END AS n_post, CASE WHEN status = 'ok' THEN round(tps / tpn + 1e-8, 4) END AS treated_pre_mean,
+          CASE WHEN status = 'ok' THEN round(cqs / cqn + 1e-8, 4) END AS control_post_mean FROM judged
+        UNION ALL SELECT a, s, m, st, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+          FROM (VALUES ('no date', '1', 'did', 'no_date'), ('no method', '1', 'magic', 'unknown_method'), ('no unit', NULL, 'did', 'no_unit')) v(a, s, m, st)""",
+    "causal_points_did": f"""WITH {SEGMENT_ROWS}, {SPECS}, design AS (
+          SELECT analysis_id, treatment_unit, month AS ts, y, unit = treatment_unit AS treated, month >= since AS is_post FROM rows CROSS JOIN specs),
+        shifts AS (SELECT analysis_id, avg(y) FILTER (treated AND NOT is_post) - avg(y) FILTER (NOT treated AND NOT is_post) AS shift FROM design GROUP BY 1),
+        dated AS (SELECT analysis_id, treatment_unit, ts, is_post, avg(y) FILTER (treated) AS observed, avg(y) FILTER (NOT treated) AS control FROM design GROUP BY 1, 2, 3, 4),
+        drawn AS (SELECT *, CASE WHEN is_post THEN control + shift ELSE coalesce(observed, control) END AS counterfactual FROM dated JOIN shifts USING (analysis_id))
+        SELECT analysis_id, treatment_unit AS series_key, 'did' AS method, strftime(ts, {STAMP}) AS ts, is_post, {rounded('observed', 'counterfactual')},
+          round(observed - counterfactual + 1e-8, 4) AS effect FROM drawn""",
+    "sc_gaps": f"""WITH panel AS (SELECT DISTINCT c_nationkey AS unit, date_trunc('month', o_orderdate) AS ts FROM orders JOIN customer ON o_custkey = c_custkey
+          WHERE c_nationkey % 5 < 3 OR date_trunc('month', o_orderdate) >= TIMESTAMP '1996-06-01'),
+        pre AS (SELECT * FROM panel WHERE ts < {ORDERS_AT}), sizes AS (SELECT unit, count(*) AS n_dates FROM pre GROUP BY 1),
+        shared AS (SELECT a.unit AS treated, b.unit AS donor, count(*) AS n FROM pre a JOIN pre b ON a.ts = b.ts AND a.unit <> b.unit GROUP BY 1, 2)
+        SELECT 'nation ' || unit AS analysis_id, n_dates, (SELECT count(*) FROM shared WHERE treated = unit AND n = n_dates) AS n_donors,
+          (SELECT count(DISTINCT unit) FROM panel) - 1 - (SELECT count(*) FROM shared WHERE treated = unit AND n = n_dates) AS n_donors_dropped FROM sizes""",
     "validate_windows": f"""WITH series AS (SELECT DISTINCT user_id, date_trunc('day', ts) AS ts FROM events),
         specs AS (SELECT * FROM (VALUES ('early', TIMESTAMP '2024-01-02'), ('mid', TIMESTAMP '2024-01-16'), ('late', TIMESTAMP '2024-01-30')) v(analysis_id, since)),
         found AS (SELECT analysis_id, user_id, row_number() OVER (PARTITION BY analysis_id, user_id ORDER BY ts) - 1 AS idx,

@@ -12,7 +12,7 @@ from tidemark.operators import clean, detect, did, inference, placebo, report, s
 from tidemark.operators.arima import ArimaPlan, candidate_orders, difference
 from tidemark.operators.arima import seasonal_period as period_for
 from tidemark.operators.structural import LocalLevelPlan
-from tidemark.plans.effects import Analysis, causal_effects
+from tidemark.plans.effects import Analysis, causal_effects, causal_points
 from tidemark.session import checkpointed, shared_folder
 from tidemark.sources.export import write_points
 from tidemark.sources.tables import read_table, scan_csv
@@ -293,6 +293,21 @@ def intervention_index(spark, d):
     return found.select(*BY, "idx", "n", "status")
 
 
+@query
+def intervention_index_specs(spark, d):
+    """A spec table as large as the data: every event is an analysis of its user's hourly series."""
+    rows = series.to_series(events(spark, d), ["user_id"], "ts", "value", "hour")
+    specs = events(spark, d).select(F.col("event_id").alias("analysis_id"), "user_id", (F.col("ts") + F.expr("INTERVAL 7 HOURS")).alias("intervention_ts"))
+    found = series.locate_interventions(series.index_series(rows, ["user_id"], "hour"), ["user_id"], specs, min_length=None)
+    return found.select("analysis_id", "user_id", "idx", "n", "status")
+
+
+@query
+def series_rejects(spark, d):
+    rows = clean.clean_column_names(dirty(spark, d)).withColumn("price", F.ltrim(F.col("price"), F.lit("$")))
+    return series.rejected_rows(rows, KEY, "event_time", "price")
+
+
 @query
 def validate_windows(spark, d):
     rows = series.to_series(events(spark, d), ["user_id"], "ts", "value", "day")
@@ -733,3 +748,35 @@ def causal_effects_all(spark, d):
     effects = causal_effects(rows, "unit", "month", "y", analyses, "month")
     weights = F.to_json(F.transform_values("unit_weights", lambda _, w: F.round(w, 4)))
     return shown(effects.withColumn("unit_weights", weights))
+
+
+def nation_specs(spark, d):
+    """A difference-in-differences for every nation and month, and a few analyses that cannot be made."""
+    months = read_table(spark, d, "orders").select(F.date_format(F.date_trunc("month", "o_orderdate"), "yyyy-MM-dd").alias("intervention_ts")).distinct()
+    every = months.withColumn("c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    name = F.concat_ws("|", F.col("c_nationkey").cast("string"), "intervention_ts")
+    odd = spark.createDataFrame(
+        [("no such nation", 99, "1998-01-01", "did"), ("no date", 1, None, "did"), ("no method", 1, "1998-01-01", "magic"), ("no unit", None, "1998-01-01", "did")],
+        "analysis_id string, c_nationkey int, intervention_ts string, method string")
+    return every.select(name.alias("analysis_id"), "c_nationkey", "intervention_ts", F.lit("did").alias("method")).unionByName(odd)
+
+
+@query
+def causal_effects_specs(spark, d):
+    rows = segment_rows(spark, d).select("c_nationkey", "month", "y")
+    effects = causal_effects(rows, "c_nationkey", "month", "y", nation_specs(spark, d), "month", details=True)
+    return shown(effects.select("analysis_id", "series_key", "method", "status", "effect", "effect_pct", "direction", "n_pre", "n_post", "treated_pre_mean", "control_post_mean"))
+
+
+@query
+def causal_points_did(spark, d):
+    rows = segment_rows(spark, d).select("unit", "month", "y")
+    analyses = [Analysis(name, at, "did", unit) for name, unit, at in [*SEGMENTS, ("unknown", "NO SUCH UNIT", ORDERS_AT)]]
+    return shown(causal_points(rows, "unit", "month", "y", analyses, "month").drop("cf_lower", "cf_upper"))
+
+
+@query
+def sc_gaps(spark, d):
+    """Monthly panel of customers' nations with holes in the pre period: donors that lack a date are left out and counted."""
+    panel = checkpointed(synth.sc_panel(segment_rows(spark, d).where("c_nationkey % 5 < 3 OR month >= '1996-06-01'"), "c_nationkey", "month", "y"))
+    return synth.sc_donors(panel, [(f"nation {i}", str(i), ORDERS_AT) for i in range(25)])
