@@ -26,6 +26,20 @@ def test_ids_are_those_of_the_tokenizer(vocabulary, messy):
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_sentences_end_alike_with_single_and_double_spaces(vocabulary):
+    encoder = packing.Encoder(vocabulary)
+    sentences = [f"Sentence number {i} says what it says{end}" for i, end in zip(range(40), ".!?" * 14)]
+    texts = [" ".join(sentences), "  ".join(sentences), " ".join(sentences) + " ", "\n ".join(sentences) + "  x", "  ", " \n "]
+    for text, (ids, ends) in zip(texts, encoder.encode(texts)):
+        ids = np.frombuffer(ids, np.uint32).tolist()
+        assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        said = [encoder.tokenizer.decode(ids[:k]).rstrip(" \n") for k in ends.tolist()]
+        if "Sentence" in text:
+            want = [" ".join(sentences[: k + 1]).split() for k in range(40)]
+            assert [s.split() for s in said if s] == want
+        assert (np.diff(ends) > 0).all() and (ends > 0).all()
+
+
 def test_cuts_by_brute_force():
     random = np.random.RandomState(3)
     for _ in range(60):

@@ -16,7 +16,8 @@ There is no shuffle: partitions are those of the input, and a sequence's id is t
 recomputed task gives the same sequences.
 
 Ids are made by the tokenizer for a space and the word after it, since its pattern never joins a space to the text
-before it; texts in which white space follows a space, or that end in one, are handed to it whole.  Words met before
+before it; texts in which white space follows a space, or that end in one, are handed to it whole, and their sentences
+end where its offsets say.  Words met before
 come from a dictionary that is emptied when it holds ``_REMEMBERED`` of them.
 
 Defined cases: a null or empty text is its end id alone; null ids and repeated rows are documents like others; an
@@ -42,6 +43,7 @@ from pyspark.sql import DataFrame
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _REMEMBERED = 450_000
 _RUN_OF_SPACE = re.compile(r" (?:\s|\Z)")
+_CHUNK = re.compile(r"[^ ]+")
 #: Fixed value: the pattern by which byte-level tokenizers of this kind cut a text before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SENTENCE_END = (".", "!", "?")
@@ -98,19 +100,27 @@ class Encoder:
         split = [t.split(" ") if not _RUN_OF_SPACE.search(t) else None for t in texts]
         if len(self.words) > _REMEMBERED:
             self.words.clear()
-        firsts = iter(self._encode([x[0] if x else t for t, x in zip(texts, split)]))
+        firsts = iter(self._encode([x[0] for x in split if x]))
         out = []
         for text, words in zip(texts, split):
-            first = next(firsts)
             if not words:
-                out.append((first, np.zeros(0, np.int64)))
+                out.append(self._encode_spaced(text))
                 continue
-            parts = [first, *map(self.words.__getitem__, words[1:])]
+            parts = [next(firsts), *map(self.words.__getitem__, words[1:])]
             ends = [k for k, w in enumerate(words) if w.endswith(_SENTENCE_END) or "\n" in w]
             out.append((b"".join(parts), (np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4)[ends]))
         return out
 
 
+    def _encode_spaced(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The same of a text with runs of white space, from the places that its ids have in it."""
+        coded = self.tokenizer.encode(text, add_special_tokens=False)
+        stops = np.fromiter((b for _, b in coded.offsets), np.int64, len(coded.offsets))
+        places = [m.end() for m in _CHUNK.finditer(text) if m[0].endswith(_SENTENCE_END) or "\n" in m[0]]
+        ends = np.unique(np.searchsorted(np.maximum.accumulate(stops), np.array(places, np.int64), "right"))
+        return np.array(coded.ids, np.uint32).tobytes(), ends[ends > 0]
+
+
 _ENCODERS: dict[int, Encoder] = {}
 
 
