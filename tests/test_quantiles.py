@@ -34,3 +34,15 @@ def test_without_keys(spark, monkeypatch, small):
     v = np.random.default_rng(2).exponential(size=9999)
     row = quantiles.exact_quantiles(spark.createDataFrame(pd.DataFrame({"v": v})), [], "v", [0.25, 0.75]).first()
     assert [row.q0, row.q1] == pytest.approx(list(np.quantile(v, [0.25, 0.75])))
+
+
+def test_a_sketch_that_is_off_is_noticed(spark, monkeypatch):
+    """Brackets far too narrow for the accuracy of the sketch: groups are done again until their quantiles are inside."""
+    monkeypatch.setattr(quantiles, "_ACCURACY", 5)
+    monkeypatch.setattr(quantiles, "_MARGIN", 1e-4)
+    monkeypatch.setattr(quantiles, "_SMALL", 10)
+    data = {k: v for k, v in groups().items() if len(v) > 2}
+    table = spark.createDataFrame(pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in data.items()])).repartition(5)
+    got = {r.g: r for r in quantiles.exact_quantiles(table, ["g"], "v", [0.1, 0.5, 0.95]).collect()}
+    for g, v in data.items():
+        assert [got[g].q0, got[g].q1, got[g].q2] == pytest.approx(list(np.quantile(v, [0.1, 0.5, 0.95])), rel=1e-12), g
