@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
 from tidemark.functions.stats import chi2_upper_p, t_quantile_975, t_two_sided_p
 
 # Textbook quantiles: two-sided 5 % points of t, upper 5 % points of chi-square.
@@ -54,3 +55,31 @@ def test_chi2_tail_of_many_degrees(spark):
     rows = spark.createDataFrame(pairs, "x double, df long").withColumn("p", chi2_upper_p(F.col("x"), F.col("df"))).collect()
     for r in rows:
         assert r.p == pytest.approx(exact(r.x, r.df), abs=1e-8), (r.x, r.df)
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 10, 31, 399, 401, 19_999, 20_001])
+def test_t_tail_equals_the_finite_series(spark, df):
+    """Abramowitz & Stegun 26.7.3 and 26.7.4, summed term by term."""
+    def series(t):
+        angle, cos2, odd = math.atan(t / math.sqrt(df)), df / (df + t * t), df % 2
+        total = 1.0
+        for k in range((df - 2 - odd) // 2, 0, -1):
+            total = 1 + total * cos2 * (2 * k - 1 + odd) / (2 * k + odd)
+        if df == 1:
+            return 1 - 2 * angle / math.pi
+        return 1 - ((angle + math.sin(angle) * math.sqrt(cos2) * total) * 2 / math.pi if odd else math.sin(angle) * total)
+
+    at = [1e-9, 0.01, 0.5, 1.0, 1.7, 1.74, 1.8, 2.5, 4.0, 9.0]
+    rows = spark.createDataFrame([(t, df) for t in at], "t double, df long").select("t", stats.t_two_sided_p(F.col("t"), F.col("df")).alias("p")).collect()
+    assert [r.p for r in rows] == pytest.approx([series(r.t) for r in rows], abs=2e-12)
+
+
+def test_t_at_very_many_degrees_of_freedom(spark):
+    row = spark.createDataFrame([(10_000_000,)], "df long").select(
+        stats.t_two_sided_p(F.lit(1.96), F.col("df")).alias("p"), stats.t_quantile_975(F.col("df")).alias("q"), stats.t_two_sided_p(F.lit(0.0), F.col("df")).alias("one"),
+        stats.t_two_sided_p(F.lit(1.0), F.lit(0)).alias("none"), stats.t_two_sided_p(F.lit(1.0), F.lit(2.5)).alias("part")).first()
+    # beyond the normal: the first terms of the expansions in 1 / df
+    z = stats.Z_975
+    assert row.p == pytest.approx(math.erfc(1.96 / math.sqrt(2)) + math.exp(-1.96**2 / 2) / math.sqrt(2 * math.pi) * (1.96**3 + 1.96) / 2e7, abs=1e-11)
+    assert row.q == pytest.approx(z + (z**3 + z) / 4e7, abs=1e-9)
+    assert row.one == 1.0 and row.none is None and 0.39 < row.part < 0.43

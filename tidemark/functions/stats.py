@@ -1,6 +1,6 @@
 """Tail probabilities and quantiles Spark has no built-in for, as plain column expressions.
 
-All of them are finite or fast-converging series folded with ``aggregate(sequence(...))``, so they
+All of them are fast-converging series and fractions folded with ``aggregate(sequence(...))``, so they
 stay in the JVM and need no Python worker.
 """
 
@@ -16,71 +16,64 @@ Z_975 = 1.959963984540054
 Z_ROUNDED = {90: 1.645, 95: 1.96, 99: 2.576}
 SIGNIFICANCE_LEVEL = 0.05
 
-# Series length grows with the degrees of freedom; beyond this many they are folded into an
-# equivalent statistic (error of order 1e-10).
-_DF_FOLD = 20_000
-# From here on the expansion in 1/df is exact to double precision.
-_DF_EXPAND = 400
+# Pairs of terms of the continued fraction: the error is below 1e-12 up to 20,000 degrees of freedom and about
+# 1e-11 at ten million.
+_PAIRS = 60
+# Bisection steps from an interval of 16, which holds the quantile even for one degree of freedom.
+_HALVINGS = 56
 
 
-def _countdown(terms: Column) -> Column:
-    """[terms, ..., 2, 1], empty when terms < 1 (``sequence`` would count the wrong way)."""
-    return F.when(terms >= 1, F.sequence(terms, F.lit(1).cast("long"), F.lit(-1).cast("long"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def _gamma_step(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a) for a > 0: its expansion in 1/a, sixteen steps further up."""
+    up = a + 16.0
+    terms = ((-1, 8), (1, 128), (5, 1024), (-21, 32768), (-399, 262144), (869, 4194304), (39325, 33554432))
+    series = sum((F.lit(n / d) / F.pow(up, F.lit(float(k))) for k, (n, d) in enumerate(terms, 1)), F.lit(1.0))
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(1.0), lambda acc, k: acc * (a + k) / (a + k + 0.5))
+    return F.sqrt(up) * series * steps
 
 
 def t_two_sided_p(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|) for Student's t with an integer number of degrees of freedom.
+    """P(|T| >= |t|) for Student's t with df >= 1 degrees of freedom, whole or not; null below.
 
-    Abramowitz & Stegun 26.7.3 and 26.7.4, in Horner form.  Null when df < 1.
+    It is the regularised incomplete beta function of df / (df + t^2) at (df / 2, 1 / 2), from its continued fraction or,
+    near 1, from that of the complement.  What the fraction needs is worked out once and carried along the fold.
     """
-    wide = df.cast("double")
-    fold = (wide - 0.5) / (_DF_FOLD - 0.5)
-    t2 = F.when(df > _DF_FOLD, _DF_FOLD * F.expm1(fold * F.log1p(t * t / wide))).otherwise(t * t)
-    nu = F.least(df.cast("long"), F.lit(_DF_FOLD).cast("long"))
-    odd = nu % 2
-    cos2 = nu / (nu + t2)
-    sine = F.sqrt(t2 / (nu + t2))
-    terms = ((nu - 2 - odd) / 2).cast("long")
-    series = F.aggregate(
-        _countdown(terms),
-        F.lit(1.0),
-        lambda acc, k: 1.0 + acc * cos2 * (2 * k - 1 + odd) / (2 * k + odd),
-    )
-    theta = F.atan(F.sqrt(t2 / nu))
-    inside = (
-        F.when(nu == 1, theta * (2 / math.pi))
-        .when(odd == 1, (theta + sine * F.sqrt(cos2) * series) * (2 / math.pi))
-        .otherwise(sine * series)
+    wide, square = F.when(df >= 1, df.cast("double")), t * t
+    near = wide / (wide + square) >= (wide / 2 + 1) / (wide / 2 + 2.5)
+    front = F.exp(-wide / 2 * F.log1p(square / wide)) * F.sqrt(square / (wide + square)) * _gamma_step(wide / 2) / math.sqrt(math.pi)
+    start = F.struct(
+        F.lit(1.0).alias("f"), front.alias("front"), near.alias("near"), F.when(near, 0.5).otherwise(wide / 2).alias("a"),
+        F.when(near, wide / 2).otherwise(0.5).alias("b"), (F.when(near, square).otherwise(wide) / (wide + square)).alias("x"),
     )
-    return F.when(df >= 1, F.greatest(F.lit(0.0), 1.0 - inside))
+
+    def pair(s: Column, m: Column) -> Column:
+        a, b, x = s["a"], s["b"], s["x"]
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        return F.struct((1 + even / (1 + odd / s["f"])).alias("f"), *[s[c].alias(c) for c in ("front", "near", "a", "b", "x")])
+
+    def end(s: Column) -> Column:
+        part = s["front"] / s["a"] / (1 - (s["a"] + s["b"]) * s["x"] / ((s["a"] + 1) * s["f"]))
+        return F.when(s["near"], 1 - part).otherwise(part)
+
+    inside = F.aggregate(F.sequence(F.lit(_PAIRS), F.lit(1), F.lit(-1)), start, pair, end)
+    return F.when(inside.isNotNull(), F.greatest(F.lit(0.0), inside))
 
 
 def t_quantile_975(df: Column) -> Column:
-    """The 0.975 quantile of Student's t: bisection on the tail for small df, else its expansion."""
-    z = Z_975
-    wide = df.cast("double")
-    # Coefficients of the expansion of the t quantile in 1/df (Abramowitz & Stegun 26.7.5).
-    expansion = (
-        F.lit(z)
-        + (z**3 + z) / 4 / wide
-        + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / wide**2
-        + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / wide**3
-        + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160 / wide**4
-    )
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(16.0).alias("hi"))
+    """The 0.975 quantile of Student's t, by bisection on the tail."""
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(16.0).alias("hi"), df.cast("double").alias("df"))
 
     def halve(acc: Column, _: Column) -> Column:
         mid = (acc["lo"] + acc["hi"]) / 2
-        above = t_two_sided_p(mid, df) > 0.05
+        above = t_two_sided_p(mid, acc["df"]) > 0.05
         return F.struct(
             F.when(above, mid).otherwise(acc["lo"]).alias("lo"),
             F.when(above, acc["hi"]).otherwise(mid).alias("hi"),
+            acc["df"].alias("df"),
         )
 
-    bisected = F.aggregate(F.sequence(F.lit(1), F.lit(56)), start, halve)["lo"]
-    return F.when(df >= 1, F.when(df > _DF_EXPAND, expansion).otherwise(bisected))
+    return F.when(df >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), start, halve)["lo"])
 
 
 def _log_gamma(x: Column) -> Column:
