@@ -765,7 +765,8 @@ def nation_specs(spark, d):
 def causal_effects_specs(spark, d):
     rows = segment_rows(spark, d).select("c_nationkey", "month", "y")
     effects = causal_effects(rows, "c_nationkey", "month", "y", nation_specs(spark, d), "month", details=True)
-    return shown(effects.select("analysis_id", "series_key", "method", "status", "effect", "effect_pct", "direction", "n_pre", "n_post", "treated_pre_mean", "control_post_mean"))
+    sizes = [F.coalesce(n, F.lit(0)).alias(n) for n in ("n_pre", "n_post")]
+    return shown(effects.select("analysis_id", "series_key", "method", "status", "effect", "effect_pct", "direction", *sizes, "treated_pre_mean", "control_post_mean"))
 
 
 @query
