@@ -337,7 +337,7 @@ ORACLES: dict[str, str] = {
           (tqs / tqn - tps / tpn) - (cqs / cqn - cps / cpn) AS gap FROM summed)
         SELECT analysis_id, u::VARCHAR AS series_key, 'did' AS method, status, CASE WHEN status = 'ok' THEN round(gap + 1e-8, 4) END AS effect,
           CASE WHEN status = 'ok' THEN round(gap / (abs(tps / tpn) + 1e-10) * 100 + 1e-8, 4) END AS effect_pct,
-          CASE WHEN status = 'ok' THEN CASE WHEN gap > 0 THEN 'increase' ELSE 'decrease' END END AS direction, CASE WHEN status = 'ok' THEN tpn ELSE 0 END AS n_pre,
+          CASE WHEN status = 'ok' THEN CASE WHEN gap > 0 THEN 'increase' WHEN gap <= 0 THEN 'decrease' END END AS direction, CASE WHEN status = 'ok' THEN tpn ELSE 0 END AS n_pre,
           CASE WHEN status = 'ok' THEN tqn ELSE 0 END AS n_post, CASE WHEN status = 'ok' THEN round(tps / tpn + 1e-8, 4) END AS treated_pre_mean,
           CASE WHEN status = 'ok' THEN round(cqs / cqn + 1e-8, 4) END AS control_post_mean FROM judged
         UNION ALL SELECT a, s, m, st, NULL, NULL, NULL, 0, 0, NULL, NULL
