@@ -1,14 +1,16 @@
 """HTML extraction by a recurrent block labeller.
 
 A page is a sequence of leaf blocks: runs of text between the starts and ends of block elements.  Each block has a
-vector: hashed names on its tag path (tags, classes, ids), hashed words, its length and its share of link text.  A
+vector: hashed names on its tag path (tags, classes, ids), hashed words, its length, its share of link text, its place,
+whether a name that not the whole page shares speaks of another part, and how much of the page's text outside links has its path.  A
 bidirectional LSTM in numpy reads the sequence and labels every block as main text or not, so what stands before and
 after a block counts for it.  The text of a page is its main blocks in page order, one a line.
 
 The labeller is trained on at most ``sample_pages`` pages (the smallest hashes of their ids, none longer than
-``sample_chars``).  Where a page names its parts (``article`` against ``nav``, ``footer``, ``aside`` and the like) its
+``sample_chars``; at most ``sample_blocks`` blocks of each).  Where a page names its parts (``article`` against ``nav``, ``footer``, ``aside`` and the like) its
 blocks label themselves; from these, training pages with other containers, with comments, notices, forms and adverts
-in other places, are put together, so that the labeller does not lean on one layout.
+in other places, are put together, so that the labeller does not lean on one layout or on names: half of them tell
+nothing by the names of their main parts (``training_pages``).
 
 Defined cases: null or empty html, and pages without main blocks, have an empty text; comments, scripts, styles and
 titles are never text, also when they are not closed; unclosed tags are closed as browsers do for paragraphs, list
@@ -19,6 +21,7 @@ table gives an empty result; other columns play no part.  Line breaks inside a b
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 from zlib import crc32
@@ -111,7 +114,16 @@ def leaves(html: str) -> list[Leaf]:
     return out
 
 
-PATH_SIZE, WORD_SIZE, EXTRAS = 48, 24, 6
+#: Names that say what a part of a page is.
+OTHER_TAGS = ["nav", "header", "footer", "aside", "form", "menu", "dialog"]
+OTHER_NAMES = (
+    "ad ads advert advertisement banner sponsor sponsored promo cookie consent notice alert message sidebar widget menu navbar navigation breadcrumb breadcrumbs "
+    "pagination comments comment reply replies respond responses reactions discussion feedback guestbook disqus related recommended share social newsletter subscribe signup login search popup modal overlay "
+    "copyright legal footer header masthead topbar bottom toolbar tags".split()
+)
+_OTHER = frozenset(OTHER_TAGS) | {"." + x for x in OTHER_NAMES}
+
+PATH_SIZE, WORD_SIZE, EXTRAS = 48, 24, 10
 SIZE = PATH_SIZE + WORD_SIZE + EXTRAS
 
 
@@ -137,12 +149,19 @@ class Vectors:
 
     def of(self, page: list[Leaf]) -> np.ndarray:
         out = np.zeros((len(page), SIZE), np.float32)
+        plain, total, before = Counter(), 1, None  # characters outside links: by path, and in the page
+        for names, text, linked in page:
+            plain[names] += len(text) - linked
+            total += len(text) - linked
+        shared = set.intersection(*(set(names) for names, _, _ in page)) if len(page) > 1 else set()  # names of the whole page tell nothing
+        telling = _OTHER - shared
         for k, (names, text, linked) in enumerate(page):
             words = text.encode().split()
             at = np.fromiter(map(crc32, words), np.int64, len(words)) % WORD_SIZE
             out[k, :PATH_SIZE] = self.path(names)
             out[k, PATH_SIZE:-EXTRAS] = np.bincount(at, minlength=WORD_SIZE) / (len(words) + 3.0)
-            out[k, -EXTRAS:] = np.log1p(len(text)) / 5, linked / len(text), text[-1] in ".!?\"»", k == 0, k == len(page) - 1, min(len(words), 20) / 20
+            out[k, -EXTRAS:] = np.log1p(len(text)) / 5, linked / len(text), text[-1] in ".!?\"»", k == 0, k == len(page) - 1, min(len(words), 20) / 20, plain[names] / total, names == before, k / len(page), not telling.isdisjoint(names)
+            before = names
         return out
 
 
@@ -234,11 +253,12 @@ class Labeller:
             first = last
         return out
 
-    def train(self, pages: list[np.ndarray], targets: list[np.ndarray], epochs: int = 10, rate: float = 0.01, batch: int = 32, seed: int = 6) -> None:
+    def train(self, pages: list[np.ndarray], targets: list[np.ndarray], epochs: int = 12, rate: float = 0.01, batch: int = 32, seed: int = 6) -> None:
         random, step = np.random.RandomState(seed), 0
         moments = [(np.zeros_like(w), np.zeros_like(w)) for w in self.weights]
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = random.permutation(len(pages))
+            pace = rate * (1 - 0.9 * epoch / epochs)
             for first in range(0, len(order), batch):
                 part = order[first : first + batch]
                 x, turned, mask, kept_a, kept_b, top, p = self._run([pages[k] for k in part])
@@ -259,19 +279,14 @@ class Labeller:
                 for w, (m, v), g in zip(self.weights, moments, grads):
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
-                    w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                    w -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
 
 
-#: Names that say what a part of a page is, for the training pages.
-OTHER_TAGS = ["nav", "header", "footer", "aside", "form", "menu", "dialog"]
-OTHER_NAMES = (
-    "ad ads advert advertisement banner sponsor sponsored promo cookie consent notice alert message sidebar widget menu navbar navigation breadcrumb breadcrumbs "
-    "pagination comments comment reply replies respond disqus related recommended share social newsletter subscribe signup login search popup modal overlay "
-    "copyright legal footer header masthead topbar bottom toolbar tags".split()
-)
+#: Containers of main text in training pages.
 MAIN = [["article"], ["main"], ["main", "article"], ["div", ".content"], ["div", ".main", ".content"], ["div", ".post"], ["div", ".entry", ".content"], ["section", ".article"], ["div", ".story"], ["div", ".article", ".body"], ["div", ".text"]]
-_OTHER = frozenset(OTHER_TAGS) | {"." + x for x in OTHER_NAMES}
-_INNER = [["p"], ["p"], ["p"], ["div"], ["h2"], ["ul", "li"], ["blockquote", "p"], ["section", "p"], []]
+_INNER = [["p"], ["p"], ["p"], ["div"], ["h2"], ["ul", "li"], ["ol", "li"], ["blockquote", "p"], ["section", "p"], ["pre"], ["table", "tr", "td"], ["dl", "dd"], []]
+#: Parts that no name tells from the main text: (elements around, elements of one entry).
+_UNNAMED = [["div"], ["div"], ["ul", "li"], ["section"], ["table", "tr", "td"], ["ol", "li"], ["div", "div"], []]
 
 
 def own_label(names: tuple[str, ...]) -> bool:
@@ -279,45 +294,84 @@ def own_label(names: tuple[str, ...]) -> bool:
     return ("article" in names or "main" in names) and _OTHER.isdisjoint(names)
 
 
-def training_pages(pages: list[list[Leaf]], seed: int = 4) -> list[tuple[list[Leaf], list[bool]]]:
-    """Every page as it is, and thrice with other containers and other parts around, within and after the main text."""
+def training_pages(pages: list[list[Leaf]], sample_blocks: int = 60, made: int = 6, seed: int = 4) -> list[tuple[list[Leaf], list[bool]]]:
+    """Every page as it is, and ``made`` times with other containers and other parts around, within and after the main text.
+
+    In half of the made pages the main text stands in containers without a telling name: plain ones, ones with made-up
+    words as names, or none.  Menus and footers may then be unnamed as well, known by links and place alone, and readers'
+    comments stand under names never met before, as entries of a name, a text and a link.  Main texts of one block are
+    among them.  Of a page of more than ``sample_blocks`` blocks, the first two thirds and last third of that number are used.
+    """
     random = np.random.RandomState(seed)
     pick = lambda options: options[random.randint(len(options))]
+    word = lambda: "".join(random.choice(list("abcdefghilmnoprstu"), random.randint(3, 10)))
     out = []
     for page in pages:
-        page = page[: 40] + page[-20:] if len(page) > 60 else page  # the ends of a page are what differs
+        last = sample_blocks // 3
+        page = page[: sample_blocks - last] + page[-last:] if len(page) > sample_blocks else page
         labels = [own_label(names) for names, _, _ in page]
         if not any(labels):
             continue
         out.append((page, labels))
         page_main = [x for x, y in zip(page, labels) if y]
         rest = [x for x, y in zip(page, labels) if not y] or page_main[:1]
-        for _ in range(3):
-            main = page_main[: random.randint(1, 12)] if random.rand() < 0.4 else page_main
-            outer, container = pick([[], [], ["div"], ["div", ".wrapper"], ["div", ".container"], ["div", ".page"]]), pick(MAIN)
-            made: list[tuple[Leaf, bool]] = []
+        for _ in range(made):
+            plain = random.rand() < 0.5
+            length = random.rand()
+            main = [pick(page_main)] if length < 0.1 else page_main[: random.randint(1, 12)] if length < 0.45 else page_main
+            outer = pick([[], [], ["div"], ["div", ".wrapper"], ["div", ".container"], ["div", ".page"], ["div", "." + word()], ["div", ".with", "." + pick(OTHER_NAMES)]])
+            container = pick([[], [], ["div"], ["div"], ["div", "." + word()], ["section"], ["table", "tr", "td"], ["div", "div"]]) if plain else pick(MAIN)
+            body, blocks = ["html", "body", *outer], []
+
+            def add(path: list[str], text: str, linked: int, label: bool = False) -> None:
+                blocks.append(((tuple(path), text, linked), label))
 
             def part(inside: list[str]) -> None:
                 names = [pick(OTHER_TAGS)] if random.rand() < 0.4 else [pick(["div", "div", "section", "ul", "p", "span", "aside", "header", "footer"]), "." + pick(OTHER_NAMES)]
                 for _ in range(random.randint(1, 5)):
                     _, text, linked = pick(rest) if random.rand() < 0.6 else pick(main)
-                    path = (*inside, *names, *pick([["p"], ["p"], ["ul", "li"], ["div"], ["div", "p"], ["label"], ["button"], []]))
-                    made.append(((path, text, pick([0, 0, linked, len(text)])), False))
-
-            for _ in range(random.randint(1, 4)):
-                part(["html", "body", *outer])
-            for k, (names, text, linked) in enumerate(main):
-                inner = ["h1"] if k == 0 and random.rand() < 0.7 else pick(_INNER)
-                made.append(((("html", "body", *outer, *container, *inner), text, linked), True))
-                if random.rand() < 0.12:
-                    part(["html", "body", *outer, *container])
-            for _ in range(random.randint(1, 4)):
-                part(["html", "body", *outer, *(container if random.rand() < 0.2 else [])])
-            out.append(([x for x, _ in made], [y for _, y in made]))
+                    add([*inside, *names, *pick([["p"], ["p"], ["ul", "li"], ["div"], ["div", "p"], ["label"], ["button"], []])], text, pick([0, 0, linked, len(text)]))
+
+            def links(inside: list[str]) -> None:
+                names = [*pick(_UNNAMED), *(["." + word()] if random.rand() < 0.4 else [])]
+                for _ in range(random.randint(1, 7)):
+                    text = " ".join(pick(rest if random.rand() < 0.5 else main)[1].split()[: random.randint(1, 5)])
+                    add([*inside, *names], text, len(text))
+
+            def remarks(inside: list[str], within: bool) -> None:
+                bare = random.rand() < 0.5  # inside an article only its name tells these from a section
+                names = [pick(["section", "div", "ol", "ul"]), "." + (pick(OTHER_NAMES) if (within and bare) or random.rand() < 0.3 else word())]
+                entry = pick([[], [], ["div"], ["li"], ["div", "." + word()]])
+                if random.rand() < 0.6:
+                    add([*inside, *names, pick(["h2", "h3", "p"])], " ".join(pick(rest)[1].split()[:3]), 0)
+                for _ in range(random.randint(1, 5)):
+                    said = pick(page_main)[1].split()
+                    if not bare:
+                        add([*inside, *names, *entry, *pick([["p"], ["div"], []])], " ".join(said[:2]), pick([0, len(" ".join(said[:2]))]))
+                    add([*inside, *names, *entry, *pick([["p"], ["p"], ["div"]])], " ".join(said[: random.randint(3, 40)]), 0)
+                    if not bare and random.rand() < 0.6:
+                        add([*inside, *names, *entry], word(), pick([0, 5]))
+
+            around = (lambda inside: links(inside) if random.rand() < 0.5 else part(inside)) if plain else part
+            for _ in range(random.randint(0 if plain else 1, 4)):
+                around(body)
+            section = [pick(["section", "div"]), "." + word()]  # some of the text may stand in a part with a name of its own
+            named = random.randint(0, 2 * len(main) + 1)
+            for k, (_, text, linked) in enumerate(main):
+                inner = ["h1"] if k == 0 and len(main) > 1 and random.rand() < 0.7 else ["p"] if plain and random.rand() < 0.6 else pick(_INNER)
+                add([*body, *container, *(section if container and k > named else []), *inner], text, linked, True)
+                if random.rand() < 0.12 and container:
+                    part([*body, *container])
+            if random.rand() < 0.5:
+                within = random.rand() < 0.5
+                remarks([*body, *container] if within else body, within)
+            for _ in range(random.randint(0 if plain else 1, 4)):
+                around([*body, *(container if random.rand() < 0.2 and not plain else [])])
+            out.append(([x for x, _ in blocks], [y for _, y in blocks]))
     return out
 
 
-def fit_labeller(pages: DataFrame, sample_pages: int = 300, sample_chars: int = 100_000) -> Labeller | None:
+def fit_labeller(pages: DataFrame, sample_pages: int = 300, sample_chars: int = 100_000, sample_blocks: int = 60) -> Labeller | None:
     """Train on a bounded sample of pages that name their parts."""
     names = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
     short = pages.select("page_id", "html").where((F.length("html") <= sample_chars) & F.col("page_id").isNotNull() & names)
@@ -325,7 +379,7 @@ def fit_labeller(pages: DataFrame, sample_pages: int = 300, sample_chars: int =
     rows = short.join(F.broadcast(ids), "page_id").dropDuplicates(["page_id"]).collect()  # at most sample_pages pages leave the scan
     rows.sort(key=lambda r: r["page_id"])
     vectors = Vectors()
-    made = training_pages([leaves(r["html"]) for r in rows])
+    made = training_pages([leaves(r["html"]) for r in rows], sample_blocks)
     if not made:
         return None
     labeller = Labeller.new()
