@@ -150,3 +150,11 @@ def test_chart_and_profile(spark):
         assert got == pytest.approx(want[c].to_numpy())
     prints = {report.table_fingerprint(points.repartition(n)).first().fingerprint for n in (1, 3, 5)}
     assert len(prints) == 1 and report.table_fingerprint(points.limit(29)).first().fingerprint not in prints
+
+
+def test_fingerprint_tells_nulls_and_borders_of_values_apart(spark):
+    def fp(*rows):
+        return report.table_fingerprint(spark.createDataFrame(list(rows), "a string, b string")).first().fingerprint
+
+    assert len({fp(("ab", "c")), fp(("a", "bc")), fp(("abc", None)), fp(("abc", "")), fp((None, "abc")), fp(("ab", "c"), ("ab", "c")), fp()}) == 7
+    assert fp(("a", "1"), ("b", None)) == fp(("b", None), ("a", "1"))

@@ -155,6 +155,17 @@ def describe_table(df: DataFrame) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """(n_rows, fingerprint): the same for the same rows in any order or partitioning."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash).cast("string").alias("fingerprint"))
+    """(n_rows, fingerprint): the same for the same rows in any order or partitioning, and on any engine with MD5.
+
+    A row is its values as text, each after its length so that none runs into the next, and ``-`` for a null; an instant is
+    its microseconds, so the time zone of the session plays no part.  The first 60 bits of the rows' hashes are summed,
+    which is combined map-side.
+    """
+
+    def told(c: str) -> Column:
+        value = F.col(f"`{c}`")
+        text = (F.unix_micros(value) if dict(df.dtypes)[c] == "timestamp" else value).cast("string")
+        return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-"))
+
+    row_hash = F.conv(F.substring(F.md5(F.concat(*map(told, df.columns)).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("fingerprint"))

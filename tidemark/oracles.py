@@ -259,6 +259,9 @@ SPEC_STATUS = """SELECT analysis_id, CASE WHEN nt = 0 THEN 'unknown_unit' WHEN n
 LOWEST = """CASE WHEN idx < greatest(3, n // 20) THEN 'too_early' WHEN n - idx - 1 < greatest(3, n // 20) THEN 'too_late'"""
 NARRATIVE_VERDICT = "CASE WHEN p_value < 0.05 THEN '(significant)' ELSE '(not significant)' END"
 
+#: A row of the events as text: the length of each value, and the value.
+FINGERPRINT_ROW = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("event_id", "ts", "user_id", "event_type", "value", "props"))
+
 ORACLES: dict[str, str] = {
     "scan_csv_series": f"""WITH {SERIES} SELECT event_type, count(*) AS n, round(avg(y) + 1e-8, 4) AS mean,
         strftime(min(ts), {STAMP}) AS first_ts, strftime(max(ts), {STAMP}) AS last_ts FROM series GROUP BY 1""",
@@ -566,4 +569,5 @@ ORACLES: dict[str, str] = {
     "series_profile": f"""SELECT event_type, count(*) AS n_rows, strftime(min(ts), {STAMP}) AS first_ts, strftime(max(ts), {STAMP}) AS last_ts,
         round(avg(value) + 1e-8, 4) AS mean, round(stddev_samp(value) + 1e-8, 4) AS sd FROM events GROUP BY 1""",
     "describe_table": describe("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+    "table_fingerprint": f"""SELECT count(*) AS n_rows, CAST(coalesce(sum(('0x' || substr(md5({FINGERPRINT_ROW}), 1, 15))::BIGINT::HUGEINT), 0) AS VARCHAR) AS fingerprint FROM events""",
 }
