@@ -571,3 +571,16 @@ ORACLES: dict[str, str] = {
     "describe_table": describe("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),
     "table_fingerprint": f"""SELECT count(*) AS n_rows, CAST(coalesce(sum(('0x' || substr(md5({FINGERPRINT_ROW}), 1, 15))::BIGINT::HUGEINT), 0) AS VARCHAR) AS fingerprint FROM events""",
 }
+
+# Segments are series of their own: the same SQL with the segment as a part of the name.
+_SEGMENTED = "SELECT event_type || '|' || strftime(ts, '%A') AS event_type, ts, value FROM events"
+_LEVEL, _LEVEL_END = ORACLES["local_level_effects"].replace("FROM events", f"FROM ({_SEGMENTED})").rsplit("SELECT 'mid' AS analysis_id", 1)
+ORACLES["subgroup_level_effects"] = f"""{_LEVEL},
+  sizes AS (SELECT event_type, count(*) AS n_points FROM ({_SEGMENTED}) GROUP BY 1),
+  states AS (SELECT event_type, n_points, CASE WHEN n_points < 30 THEN 'too_small' WHEN idx < greatest(3, n // 20) THEN 'too_early'
+      WHEN n - idx - 1 < greatest(3, n // 20) THEN 'too_late' WHEN n < 30 THEN 'too_short' ELSE 'ok' END AS status
+    FROM sizes JOIN located USING (event_type))
+  SELECT 'mid' AS analysis_id, split_part(event_type, '|', 1) AS event_type, split_part(event_type, '|', 2) AS segment, n_points, status,
+    {', '.join(f"CASE WHEN status = 'ok' THEN round({c} + 1e-8, 4) END AS {c}" for c in ('effect', 'effect_pct', 'cf_ci_lower', 'cf_ci_upper', 'effect_ci_lower', 'effect_ci_upper', 'p_value'))},
+    CASE WHEN status = 'ok' THEN p_value < 0.05 END AS significant
+  FROM states LEFT JOIN effects USING (event_type)"""

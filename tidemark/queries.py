@@ -664,6 +664,13 @@ def subgroup_effects(spark, d):
         events(spark, d).select("event_type", "ts", "value"), KEY, "ts", "value", ONE, "weekday", grain="hour"))
 
 
+@query
+def subgroup_level_effects(spark, d):
+    """Segments under the local-level model."""
+    return shown(subgroup.subgroup_effects(
+        events(spark, d).select("event_type", "ts", "value"), KEY, "ts", "value", ONE, "weekday", "bsts", grain="hour"))
+
+
 SCENARIOS = [
     whatif.Scenario("as is"), whatif.Scenario("steeper", slope_pct=20), whatif.Scenario("higher", level_pct=-40, ci_level=99),
     whatif.Scenario("both", slope_pct=-50, level_pct=100, ci_level=90),
