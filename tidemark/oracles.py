@@ -54,6 +54,15 @@ def chi2_p_10(x: str) -> str:
     return f"exp(-{h}) * (1 + {h} + {h}^2 / 2 + {h}^3 / 6 + {h}^4 / 24)"
 
 
+def chi2_p_any(x: str, df: str) -> str:
+    """Upper chi-square tail by the power series of the lower incomplete gamma function."""
+    a, h = f"(({df}) / 2.0)::DOUBLE", f"(({x}) / 2.0)"
+    return (
+        f"CASE WHEN {df} < 1 THEN 1.0 WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 2000), "
+        f"lambda k: exp(({a} + k) * ln({h}) - {h} - lgamma({a} + k + 1))))) END"
+    )
+
+
 def summary(points: str, keys: str) -> str:
     """Effect summary over a points relation, as CTEs named ``sums`` and ``effects``."""
     return f"""sums AS (
@@ -566,6 +575,11 @@ ORACLES: dict[str, str] = {
         CASE WHEN is_post THEN round(cf_upper + 1e-8, 4) END AS band_upper, ts = mark AS is_intervention FROM points JOIN marks USING (event_type)""",
     "pointwise_effect": f"""WITH {POINTS} SELECT 'mid' AS analysis_id, event_type, strftime(ts, {STAMP}) AS ts, round(observed - counterfactual + 1e-8, 4) AS effect,
         observed - counterfactual >= 0 AS is_positive FROM points""",
+    "chi_square_tails": f"""WITH parts AS (SELECT event_type, 'hour' AS part, hour(ts) AS value FROM events UNION ALL SELECT event_type, 'weekday', isodow(ts) FROM events
+          UNION ALL SELECT event_type, 'day', dayofyear(ts) FROM events),
+        counts AS (SELECT event_type, part, value, count(*) AS c FROM parts WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+        sums AS (SELECT event_type, part, count(*) - 1 AS df, sum(c * c)::DOUBLE * count(*) / sum(c) - sum(c) AS x FROM counts GROUP BY 1, 2)
+        SELECT event_type, part, df, round(x + 1e-8, 4) AS statistic, round({chi2_p_any('x', 'df')} + 1e-8, 4) AS p_value FROM sums""",
     "series_profile": f"""SELECT event_type, count(*) AS n_rows, strftime(min(ts), {STAMP}) AS first_ts, strftime(max(ts), {STAMP}) AS last_ts,
         round(avg(value) + 1e-8, 4) AS mean, round(stddev_samp(value) + 1e-8, 4) AS sd FROM events GROUP BY 1""",
     "describe_table": describe("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.stats import chi2_upper_p
 from tidemark.operators import clean, detect, did, inference, placebo, report, series, subgroup, synth, whatif
 from tidemark.operators.arima import ArimaPlan, candidate_orders, difference
 from tidemark.operators.arima import seasonal_period as period_for
@@ -726,6 +727,17 @@ def pointwise_effect(spark, d):
     return shown(report.pointwise_effect(mean_points(spark, d), BY))
 
 
+@query
+def chi_square_tails(spark, d):
+    """Upper tails at odd, even and larger degrees of freedom: are events spread evenly over hours, weekdays and days?"""
+    at = {"hour": F.hour("ts"), "weekday": F.weekday("ts"), "day": F.dayofyear("ts")}
+    parts = F.explode(F.map_from_arrays(F.array(*map(F.lit, at)), F.array(*at.values())))
+    counts = events(spark, d).where("ts IS NOT NULL").select(*KEY, parts.alias("part", "value")).groupBy(*KEY, "part", "value").agg(F.count(F.lit(1)).alias("c"))
+    sums = counts.groupBy(*KEY, "part").agg(
+        (F.count(F.lit(1)) - 1).alias("df"), (F.sum(F.col("c") * F.col("c")) * F.count(F.lit(1)) / F.sum("c") - F.sum("c")).alias("statistic"))
+    return shown(sums.withColumn("p_value", chi2_upper_p(F.col("statistic"), F.col("df"))))
+
+
 @query
 def series_profile(spark, d):
     return shown(report.series_profile(events(spark, d), KEY, "ts", "value"))
