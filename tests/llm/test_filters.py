@@ -71,6 +71,36 @@ def test_rules_on_messy_rows(messy, no_docs, some_labels):
     assert rules.fit_rules(no_docs, some_labels).forest is None
 
 
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """Ranges, cells and threshold against the same forest fitted on all rows at hand, in a few small tasks."""
+    plain, odd = sentences(11, 8000), [x.replace(" ", " | ") for x in sentences(12, 400)]
+    texts = [x for i in range(50) for x in (*plain[i % 40 :: 40], *odd[i::50])]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, "too short"), (None, texts[0])], "doc_id long, text string").repartition(7)
+    quality = [int(" | " not in x) for x in texts]
+    labels = spark.createDataFrame([*enumerate(quality), (None, 1)], "doc_id long, quality int").repartition(3)
+    counts, stats = rules.measure([x.encode() for x in texts])
+    sound = ~rules.base_failed(counts)
+    good = stats[sound & (np.array(quality) == 1)]
+    assert len(good) > 9_000
+    wanted = rules.IsolationForest.fit(good, stats[sound].min(0), stats[sound].max(0), 20)
+    assert (wanted.counts(good)[:, 0] == len(good)).all()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        model = rules.fit_rules(docs, labels, clean_loss=0.01, trees=20)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (model.forest.feature == wanted.feature).all() and np.array_equal(model.forest.length, wanted.length) and model.forest.unit == wanted.unit
+    assert model.threshold == np.quantile(wanted.score(good), 0.99, method="higher")
+
+
+@pytest.mark.parametrize("parts", [2, 1024])
+def test_nth_smallest(spark, parts):
+    values = np.r_[np.random.RandomState(3).lognormal(0, 3, 500), np.full(40, 1.5), 1e12]
+    table = spark.createDataFrame([(float(x),) for x in values], "v double").repartition(3)
+    for n in (0, 300, 499, len(values) - 1):
+        assert rules.nth_smallest(table, "v", n, parts) == np.sort(values)[n]
+
+
 def test_label_model_finds_the_rates():
     random = np.random.RandomState(0)
     bad = random.rand(20_000) < 0.2
