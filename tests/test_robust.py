@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import level_shift, long_table
 from tests.test_arima import prepared, run
-from tidemark.operators import placebo, report, subgroup, whatif
+from tidemark.operators import placebo, report, series, subgroup, whatif
 
 K = ["key"]
 BY = ["analysis_id", "key"]
@@ -72,6 +72,31 @@ def test_value_bins_follow_pandas(spark, values):
         assert list(out.orderBy("i").toPandas().segment) == list(want)
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_rows_of_few_keys_are_not_gathered(spark, monkeypatch, sent):
+    """Three keys in 200 partitions: rows stay where they lie; with more facts than are sent the result is the same."""
+    if not sent:
+        monkeypatch.setattr(series, "_SENT_FACTS", 2)
+    v = np.random.RandomState(1).normal(size=600)
+    frame = pd.DataFrame({"k": np.tile(["a", "b", None], 200), "i": range(600), "v": v})
+    settings = {"spark.sql.shuffle.partitions": "200", "spark.sql.autoBroadcastJoinThreshold": "4k"}  # the rows are more, their facts less
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        out = subgroup.segment_value_bin(spark.createDataFrame(frame).repartition(5), "v", ["k"])
+        got = {r.i: r.segment for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    final = plan.split("Initial Plan")[0]
+    assert not sent or ("BroadcastHashJoin" in final and "SortMergeJoin" not in final)
+    known = frame.dropna()
+    want = known.groupby("k").v.transform(lambda x: pd.qcut(x, 4, labels=False))
+    assert got == {i: subgroup.QUARTILE_LABELS[q] for i, q in zip(known.i, want, strict=True)}
+
+
 def test_subgroups(spark):
     y = level_shift(n=420, at=210, slope=0.0, shift=20)
     table = spark.createDataFrame(long_table({"a": y}))

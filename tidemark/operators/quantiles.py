@@ -43,7 +43,7 @@ def exact_quantiles_of(
             return reduce(DataFrame.unionByName, out, whole)
         # a group is done again with all its columns, so its other rows are left out here
         out.append(join_per_key(whole, missed, keys, "left").where("_missed IS NULL").drop("_missed"))
-        todo, margin = join_per_key(todo, checkpointed(missed), keys).drop("_missed"), margin * _WIDEN
+        todo, margin = join_per_key(todo, missed, keys).drop("_missed"), margin * _WIDEN
 
 
 def _bracketed(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], margin: float) -> DataFrame:

@@ -20,6 +20,7 @@ from tidemark.session import checkpointed
 
 BLOCK_ROWS = 4096
 OVERLAP = 64  # at least the longest lag of any model
+_SENT_FACTS = 20_000  # rows of facts per key that are sent to every task
 
 # Calendar bucket used to number the observations of a series, by grain.  A series at a grain of a
 # day or coarser is short enough to be numbered in one window.
@@ -149,12 +150,16 @@ def per_block(table: DataFrame, n: str) -> DataFrame:
 def join_per_key(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Joins a few facts per key to the rows of that key; without keys the facts are a single row.
 
-    Small facts are broadcast by their measured size.  Beyond that a hot key is split by the skew join of
-    adaptive execution.  The extra join column lets it: with it, no later aggregate by the same keys can
-    rely on the layout of the join.
+    The facts are worked out first.  Up to ``_SENT_FACTS`` of them are sent to the rows, which stay where they lie, so
+    that no task holds all rows of a key.  Left to itself, adaptive execution would not do so for few keys, as most
+    partitions of their facts are empty.  Beyond that a hot key is split by the skew join of adaptive execution.  The
+    extra join column lets it: with it, no later aggregate by the same keys can rely on the layout of the join.
     """
     tie = F.xxhash64(*keys) if keys else F.lit(1)
-    return rows.withColumn("_tie", tie).join(facts.withColumn("_tie", tie), [*keys, "_tie"], how).drop("_tie")
+    facts = checkpointed(facts).withColumn("_tie", tie)
+    if facts.count() <= _SENT_FACTS:
+        facts = F.broadcast(facts)
+    return rows.withColumn("_tie", tie).join(facts, [*keys, "_tie"], how).drop("_tie")
 
 
 def attach_specs(series: DataFrame, specs: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
